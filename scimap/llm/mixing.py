@@ -53,7 +53,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mos
     return s.select("key", "source_size", "_all", F.least(F.col("_cap"), level * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: int = 3, block_words: int = 64, shard_words: int = 1 << 19, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: int = 3, block_words: int = 32, shard_words: int = 1 << 19, seed: int = 7) -> DataFrame:
     """docs' ids and sizes with what the mix takes: id, size, source_size, target, taken, source key and text hash.
 
     Sizes are words. Each source's documents are dealt by hash to shards of about shard_words words; in a shard, in

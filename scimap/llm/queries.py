@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scimap.llm import chat, line_dedup, mixing
+from scimap.llm import bpe, chat, line_dedup, media, mixing, quality, simhash
 from scimap.llm.common import table
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded by byte_bpe_50k and decoded again."""
+    d = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True))
+    return d.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation in the view of each participant; spans as text start-end,start-end."""
     v = chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
@@ -22,16 +28,39 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 3-word shingles, linked at 3 or fewer differing bits, and their components."""
+    a = simhash.assign(table(spark, sf_dir, "documents"), words=3)
+    return a.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 5, 2, 1, repeating."""
     m = mixing.mix(table(spark, sf_dir, "documents"))
     return m.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by a quadratic discriminant learned from the labels that aren't held out."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a grey image in tar shards and read back."""
+    m = media.media_columns(table(spark, sf_dir, "documents"))
+    m = m.withColumnRenamed("id", "doc_id").withColumn("feature", F.concat_ws(";", F.concat_ws("x", "width", "height"), "feature"))
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return m.select(*names, "digest", "shard", "offset", "length")
+
+
 QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
     "op3_chat_perspectives": op3_chat_perspectives,
     "op5_line_dedup": op5_line_dedup,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_source_mix": op7_source_mix,
+    "op8_quality_qda": op8_quality_qda,
+    "op9_media_columns": op9_media_columns,
 }
 
 ORACLES = {
