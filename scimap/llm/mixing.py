@@ -53,13 +53,14 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mos
     return s.select("key", "source_size", "_all", F.least(F.col("_cap"), level * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: int = 3, block_words: int = 32, shard_words: int = 1 << 19, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: int = 3, block_words: int = 16, shard_words: int = 1 << 19, seed: int = 7) -> DataFrame:
     """docs' ids and sizes with what the mix takes: id, size, source_size, target, taken, source key and text hash.
 
     Sizes are words. Each source's documents are dealt by hash to shards of about shard_words words; in a shard, in
-    seeded order, they are a stream cut into blocks of block_words words. Highest quotients give each source a number
-    of blocks by its target, and of these each shard its quota by its size. A shard of n blocks with quota q takes all
-    blocks q div n times and q mod n of them once more, evenly spaced from a seeded start. taken counts a document's
+    seeded order, they are a stream cut into blocks of block_words words (the last may be shorter). Highest quotients
+    give each source a number of blocks by its target, and of these each shard its quota by its size. A shard takes
+    all its blocks as often as its quota's words hold its size, and as many blocks as are left of the quota once more,
+    evenly spaced from a seeded start. taken counts a document's
     words in taken blocks, at most `most` times its size. Only ids, sizes and hashes move; a hot source has more
     shards, not larger ones.
 
@@ -82,8 +83,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     d = d.withColumn("order", F.xxhash64(F.lit(seed + 1), "id", "text_hash")).withColumn("end", F.sum("size").over(stream))
     d = d.join(quota, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_k")))
     d = d.withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block_words)).cast("long"))
-    d = d.withColumn("q", F.least(F.col("quota"), F.col("n") * most))
-    d = d.withColumn("passes", F.expr("q div n")).withColumn("rest", F.expr("q % n"))
+    d = d.withColumn("words", F.col("quota") * block_words)
+    d = d.withColumn("passes", F.least(F.lit(most).cast("long"), F.coalesce(F.expr("try_divide(words, shard_size)").cast("long"), F.lit(0))))
+    rest = F.least(F.col("n"), F.round((F.col("words") - F.col("passes") * F.col("shard_size")) / block_words).cast("long"))
+    d = d.withColumn("rest", F.when(F.col("passes") < most, rest).otherwise(0))
     d = d.withColumn("start", F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.col("n")))
 
     def upto(x: str) -> str:
