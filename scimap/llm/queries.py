@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scimap.llm import bpe, chat, line_dedup, media, mixing, quality, simhash
+from scimap.llm import bpe, chat, line_dedup, media, mixing, quality, simhash, substring
 from scimap.llm.common import table
 
 
@@ -53,6 +53,13 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(*names, "digest", "shard", "offset", "length")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of 13-word windows that also begin in an earlier document, removed from every document."""
+    d = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    return d.select(F.col("id").alias("doc_id"), "n_words", "n_removed", kept)
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_chat_perspectives": op3_chat_perspectives,
@@ -61,6 +68,7 @@ QUERIES = {
     "op7_source_mix": op7_source_mix,
     "op8_quality_qda": op8_quality_qda,
     "op9_media_columns": op9_media_columns,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES = {

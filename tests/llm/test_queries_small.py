@@ -117,3 +117,21 @@ def test_op9_is_lossless(spark, texts):
     with tarfile.open(rows[0].shard.removeprefix("file://")) as tar:
         assert {m.name for m in tar.getmembers()} >= {f"{r.digest}.png" for r in rows if r.shard == rows[0].shard}
         assert media.png_header(io.BytesIO(tar.extractfile(tar.getmembers()[0]).read()).read(33))["width"] == 64
+
+
+def test_op10_equals_all_windows(spark, texts):
+    first = {}
+    words = {i: WORD.findall(t) for i, t in texts.items()}
+    for i in sorted(words):
+        for k in range(len(words[i]) - 12):
+            first.setdefault(tuple(words[i][k : k + 13]), i)
+    want = []
+    for i, w in words.items():
+        gone = [False] * len(w)
+        for k in range(len(w) - 12):
+            if first[tuple(w[k : k + 13])] < i:
+                gone[k : k + 13] = [True] * 13
+        kept = [x for x, g in zip(w, gone) if not g]
+        want.append((i, len(w), len(w) - len(kept), sha(" ".join(kept).encode())))
+    rows = queries.QUERIES["op10_substring_dedup"](spark, SF).collect()
+    assert sorted(map(tuple, rows)) == sorted(want) and any(x[2] for x in want)
