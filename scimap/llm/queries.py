@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scimap.llm import bpe, chat, line_dedup, media, mixing, quality, simhash, substring
+from scimap.llm import bpe, chat, line_dedup, lm, media, mixing, quality, simhash, substring
 from scimap.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.withColumn("spans", spans)
 
 
+def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability by a bigram model learned from six sevenths of them."""
+    return lm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines whose key is in at least 10 documents are dropped from all documents."""
     d = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10)
@@ -63,6 +68,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_chat_perspectives": op3_chat_perspectives,
+    "op4_deleted_interpolation": op4_deleted_interpolation,
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_source_mix": op7_source_mix,

@@ -135,3 +135,21 @@ def test_op10_equals_all_windows(spark, texts):
         want.append((i, len(w), len(w) - len(kept), sha(" ".join(kept).encode())))
     rows = queries.QUERIES["op10_substring_dedup"](spark, SF).collect()
     assert sorted(map(tuple, rows)) == sorted(want) and any(x[2] for x in want)
+
+
+def test_op4_base_and_held_out_gain(spark, texts):
+    tokens = {i: [*WORD.findall(lower(t)), None] for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    count = {}
+    for i, ts in tokens.items():
+        for t in ts if not held[i] else ():
+            count[t] = count.get(t, 0) + 1
+    n, v = sum(count.values()), len(count)
+    rows = queries.QUERIES["op4_deleted_interpolation"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ts = tokens[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(ts), sum(t in count for t in ts), n)
+        assert r.base_score == pytest.approx(sum(np.log10((count.get(t, 0) + 1) / (n + v + 1)) for t in ts))
+    out = [r for r in rows if r.held_out]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out)
