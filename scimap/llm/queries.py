@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scimap.llm import bpe, chat, line_dedup, lm, media, mixing, quality, simhash, substring
+import corpus_pipeline
+from scimap.llm import bpe, chat, line_dedup, lm, media, mixing, quality, search, simhash, substring
 from scimap.llm.common import table
 
 
+def op1_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of all for each document whose id is divisible by 20, by its 25 most telling terms."""
+    s = search.similar(table(spark, sf_dir, "documents"), every=20, k=10, n_terms=25)
+    return s.select(F.col("query").alias("query_id"), "rank", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded by byte_bpe_50k and decoded again."""
     d = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True))
@@ -65,7 +72,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("id").alias("doc_id"), "n_words", "n_removed", kept)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline's token ids, as lowercase hex of little-endian 32-bit integers."""
+    return corpus_pipeline.run(spark, sf_dir).withColumn("ids", F.lower(F.hex("ids")))
+
+
 QUERIES = {
+    "op1_bm25_top_k": op1_bm25_top_k,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_chat_perspectives": op3_chat_perspectives,
     "op4_deleted_interpolation": op4_deleted_interpolation,
@@ -75,6 +88,7 @@ QUERIES = {
     "op8_quality_qda": op8_quality_qda,
     "op9_media_columns": op9_media_columns,
     "op10_substring_dedup": op10_substring_dedup,
+    "pipeline": pipeline,
 }
 
 ORACLES = {

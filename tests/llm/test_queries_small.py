@@ -153,3 +153,53 @@ def test_op4_base_and_held_out_gain(spark, texts):
         assert r.base_score == pytest.approx(sum(np.log10((count.get(t, 0) + 1) / (n + v + 1)) for t in ts))
     out = [r for r in rows if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_op1_equals_exhaustive_scores(spark, texts):
+    from collections import Counter
+
+    words = {i: Counter(t.encode().lower().split()) for i, t in texts.items()}
+    n, mean = len(words), sum(sum(w.values()) for w in words.values()) / len(words)
+    df = Counter(t for w in words.values() for t in w)
+    idf = {t: np.log1p((n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
+    want = {}
+    for q in words:
+        if q % 20:
+            continue
+        terms = sorted((t for t in words[q] if df[t] > 1), key=lambda t: (-words[q][t] * idf[t], xxhash.xxh64_intdigest(t)))[:25]
+        scores = {}
+        for i, w in words.items():
+            size = sum(w.values())
+            own = [words[q][t] * idf[t] * w[t] * 2.2 / (w[t] + 1.2 * (0.25 + 0.75 * size / mean)) for t in terms if t in w]
+            if own:
+                scores[i] = sum(own)
+        best = sorted(scores.values(), reverse=True)[:10]
+        want[q] = best, scores
+    got = {}
+    for r in queries.QUERIES["op1_bm25_top_k"](spark, SF).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.doc_id, r.score))
+    assert {q for q, w in want.items() if w[0]} == set(got)
+    for q, rows in got.items():
+        rows.sort()
+        assert [r[2] for r in rows] == pytest.approx(want[q][0], abs=1e-5)
+        assert all(r[2] == pytest.approx(want[q][1][r[1]], abs=1e-5) for r in rows)
+
+
+def test_block_max_wand_prunes_exactly():
+    from scimap.llm import search
+
+    rng = np.random.default_rng(3)
+    for k in (1, 3, 10):
+        shard = search.Shard.__new__(search.Shard)
+        lists = [np.flatnonzero(rng.random(3000) < p) for p in (0.9, 0.5, 0.1, 0.01, 0.3)]
+        shard.starts = np.cumsum([0, *map(len, lists)])
+        shard.doc = np.concatenate(lists)
+        shard.value = rng.choice([0.5, 1.0, 1.5], len(shard.doc)) + (shard.doc < 300)
+        shard.lists = {}
+        weights = [0.2, 0.7, 2.0, 5.0, 1.0]
+        scores = {}
+        for t, w in enumerate(weights):
+            for d, v in zip(lists[t].tolist(), shard.value[shard.starts[t] : shard.starts[t + 1]].tolist(), strict=True):
+                scores[d] = scores.get(d, 0.0) + w * v
+        want = sorted(((s, d) for d, s in scores.items()), key=lambda x: (-x[0], x[1]))[:k]
+        assert search.wand(shard, list(range(5)), weights, k) == want
