@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from scimap.plans import counts, graph_queries, statistics, texts
+from scimap.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "counts", "graph_queries", "statistics", "texts"]
