@@ -166,10 +166,14 @@ def growth_models(series: DataFrame, by: str = "corpus") -> DataFrame:
     fewer than 4 years have no rows; AIC and BIC are null where the sum of squares is 0 or there are too few years.
     """
 
+    def typed(rows: list[tuple]) -> pd.DataFrame:
+        kinds = {"corpus": object, "model": object, "r_squared": float, "aic": float, "bic": float, "asymptote": float, "best": bool}
+        return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=k) for i, (c, k) in enumerate(kinds.items())})
+
     def models(group: pd.DataFrame) -> pd.DataFrame:
         g = group.dropna(subset=["year"]).sort_values("year")
         if len(g) < 4:
-            return pd.DataFrame({c: [] for c in ("corpus", "model", "r_squared", "aic", "bic", "asymptote", "best")})
+            return typed([])
         y = g["n"].to_numpy(float).cumsum()
         t = (g["year"] - g["year"].min()).to_numpy(float)
         n, last, span = len(t), y[-1], t.max()
@@ -202,8 +206,7 @@ def growth_models(series: DataFrame, by: str = "corpus") -> DataFrame:
             rows.append((str(group[by].iloc[0]), name, 1 - ss / around if around > 0 else 0.0, base + 2 * (k + 1) if good else None, base + (k + 1) * math.log(n) if good else None, top))
         least = min((r[3] for r in rows if r[3] is not None), default=None)
         first = next((r[1] for r in rows if r[3] is not None and r[3] == least), None)
-        out = pd.DataFrame(rows, columns=["corpus", "model", "r_squared", "aic", "bic", "asymptote"])
-        return out.assign(best=out["model"] == first)
+        return typed([(*r, r[1] == first) for r in rows])
 
     schema = "corpus string, model string, r_squared double, aic double, bic double, asymptote double, best boolean"
     return series.groupBy(by).applyInPandas(models, schema)
