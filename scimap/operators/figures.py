@@ -25,7 +25,7 @@ def induced(nodes: DataFrame, edges: DataFrame, k: int = 40) -> tuple[DataFrame,
     """The k most frequent nodes (node, n) and the edges between them."""
     best = top(nodes, k, F.col("n").desc(), F.col("node"))
     e = edges.join(best.select(F.col("node").alias("src")), "src", "left_semi").join(best.select(F.col("node").alias("dst")), "dst", "left_semi")
-    return best, e
+    return best, e.select("src", "dst", "weight")
 
 
 def cluster_heatmap(clusters: DataFrame) -> DataFrame:

@@ -189,3 +189,49 @@ def graph_era_sizes(spark, sf):
 def keyword_graph(items, min_docs: int = 3):
     """Nodes and edges of items in at least min_docs documents."""
     return co.nodes_of(items, min_docs), co.pairs(items, min_docs)
+
+
+@query(f"""{HOPS}, {DEGREE}, {TRIANGLES}, t AS (SELECT node, count(*) AS t FROM corner GROUP BY 1),
+    cl AS (SELECT avg(CASE WHEN degree >= 2 THEN 2 * coalesce(t, 0) / (degree * (degree - 1)) ELSE 0 END) AS c FROM deg LEFT JOIN t USING (node)),
+    co AS (SELECT count(DISTINCT component) AS k FROM (SELECT s, min(t) AS component FROM hop GROUP BY 1)),
+    di AS (SELECT CASE WHEN count(*) = any_value(n) * any_value(n) AND any_value(n) > 1 THEN max(d) END AS d FROM hop, n),
+    e AS (SELECT weight, a.cluster AS ca, b.cluster AS cb FROM edges JOIN regions a ON a.node = src JOIN regions b ON b.node = dst), m AS (SELECT sum(weight) AS m, count(*) AS k FROM e),
+    g AS (SELECT cluster, sum(w) AS inside, sum(d) AS degree FROM (SELECT ca AS cluster, CASE WHEN ca = cb THEN weight ELSE 0 END AS w, weight AS d FROM e UNION ALL SELECT cb, 0, weight FROM e) GROUP BY 1),
+    q AS (SELECT sum(inside / m - pow(degree / (2 * m), 2)) AS q FROM g, m)
+    SELECT n, m.k AS m, round(2 * m.k / (n * (n - 1)), 6) AS density, round(2 * m.k / n, 6) AS mean_degree, round(c, 6) AS clustering, co.k AS components, round(q, 6) AS modularity, CAST(d AS BIGINT) AS diameter FROM n, m, cl, co, q, di""")
+def graph_network_metrics(spark, sf):
+    nodes, edges = ad.country_graph(spark, sf)
+    m = gr.network_metrics(nodes, edges, ad.regions(spark, sf))
+    return m.select("n", "m", *[F.round(c, 6).alias(c) for c in ("density", "mean_degree", "clustering")], "components", F.round("modularity", 6).alias("modularity"), "diameter")
+
+
+@query()
+def graph_node_metrics(spark, sf):
+    nodes, edges = ad.country_graph(spark, sf)
+    m = cm.node_metrics(nodes, edges)
+    return m.select("node", "degree", *[F.round(c, 5).alias(c) for c in ("centrality", "betweenness", "closeness", "eigenvector", "rank")])
+
+
+@query(f"""{with_("keywords")}, k AS (SELECT item AS node, count(*) AS n FROM keywords GROUP BY 1 HAVING count(*) >= 3),
+    p AS (SELECT a.item AS src, b.item AS dst, count(*) AS weight FROM keywords a JOIN keywords b ON a.doc_id = b.doc_id AND a.item < b.item WHERE a.item IN (SELECT node FROM k) AND b.item IN (SELECT node FROM k) GROUP BY 1, 2)
+    SELECT node, n, count(weight) AS degree, CAST(coalesce(sum(weight), 0) AS BIGINT) AS strength FROM k LEFT JOIN p ON node = src OR node = dst GROUP BY 1, 2""")
+def graph_keyword_network(spark, sf):
+    nodes, edges = keyword_graph(ad.keywords(spark, sf), 3)
+    return nodes.join(gr.degrees(nodes.select("node"), edges).drop("centrality"), "node")
+
+
+@query(f"""WITH d AS (SELECT o_orderkey AS doc_id, CAST(year(o_orderdate) AS INTEGER) AS era FROM orders),
+    r AS (SELECT DISTINCT era, l_orderkey AS doc_id, l_partkey AS ref FROM lineitem JOIN d ON l_orderkey = doc_id),
+    n AS (SELECT era, count(*) AS n FROM d GROUP BY 1), p AS (SELECT a.era, a.doc_id AS x, b.doc_id AS y FROM r a JOIN r b ON a.era = b.era AND a.ref = b.ref AND a.doc_id < b.doc_id GROUP BY 1, 2, 3),
+    m AS (SELECT era, count(*) AS m FROM p GROUP BY 1)
+    SELECT era, n, coalesce(m, 0) AS m, round(2 * coalesce(m, 0) / (n * (n - 1)), 10) AS density FROM n LEFT JOIN m USING (era)""")
+def graph_era_coupling(spark, sf):
+    """Each year's coupling graph: documents, coupled pairs and density, all years in one grouped pass."""
+    y = ad.years(spark, sf).withColumnRenamed("year", "era")
+    r = ad.references(spark, sf).join(y, "doc_id")
+    # the era is part of the reference, so that pairs are of one era
+    pairs = co.coupling(r.select("doc_id", F.struct("era", "ref").alias("ref"))).join(y.withColumnRenamed("doc_id", "src"), "src")
+    m = pairs.groupBy("era").agg(F.count(F.lit(1)).alias("m"))
+    n = y.groupBy("era").agg(F.count(F.lit(1)).alias("n"))
+    density = F.coalesce(F.try_divide(2 * F.coalesce("m", F.lit(0)), F.col("n") * (F.col("n") - 1)), F.lit(0.0))
+    return n.join(m, "era", "left").select("era", "n", F.coalesce("m", F.lit(0)).alias("m"), F.round(density, 10).alias("density"))

@@ -272,3 +272,27 @@ def chat_cluster_insights(spark, sf):
 @query("""SELECT conv_id, turn, CASE WHEN length(text) > 40 THEN left(text, 40) || '...' ELSE text END AS short FROM conversations""")
 def str_truncation(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", tx.shortened(F.col("text"), 40).alias("short"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, lower(source || ' ' || text) AS t FROM documents), r AS (SELECT doc_id FROM d WHERE {_screen_sql(ONE)} AND {_screen_sql(TWO)})
+    SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM r""")
+def set_complement(spark, sf):
+    s = screening.relevance(_abstracts(spark, sf), ONE, TWO)
+    return s.select("doc_id").exceptAll(s.where("retained").select("doc_id"))
+
+
+@query("""SELECT DISTINCT p_name AS term FROM part WHERE p_size < 10 INTERSECT SELECT DISTINCT p_name FROM part WHERE p_size > 40""")
+def set_intersection(spark, sf):
+    p = table(spark, sf, "part")
+    return p.where("p_size < 10").select(F.col("p_name").alias("term")).intersect(p.where("p_size > 40").select("p_name"))
+
+
+@query("""SELECT p_brand AS key FROM part WHERE p_size < 5 UNION SELECT p_type FROM part WHERE p_size > 45""")
+def set_union(spark, sf):
+    p = table(spark, sf, "part")
+    return p.where("p_size < 5").select(F.col("p_brand").alias("key")).union(p.where("p_size > 45").select("p_type")).distinct()
+
+
+@query("""SELECT DISTINCT l_orderkey, l_partkey FROM lineitem""")
+def set_distinct_per_document(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()

@@ -29,7 +29,7 @@ OPTIONAL = {"mean_year", "mean_citations", "mean_norm_citations"}
 def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(graph, line, cells): non-empty lines with their number; graph is the file's name without its ending."""
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
-    t = spark.read.option("wholetext", True).text(paths).select(name.alias("graph"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    t = spark.read.text(paths, wholetext=True).select(name.alias("graph"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
     t = t.select("graph", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
     cells = F.transform(F.split("text", "\t"), lambda c: F.regexp_replace(c, '^"(.*)"$', "$1"))
     return t.select("graph", "line", "text", cells.alias("cells"))

@@ -14,7 +14,7 @@ MESSAGE = r"(?s)\[([^\]]+)\]\s+(\d{2}:\d{2}:\d{2})\s*\n(.+?)(?=\[|$(?!\n))"
 
 def read_transcripts(spark: SparkSession, paths: str | list[str], advisors: list[str]) -> DataFrame:
     """(date, seq, speaker, ts, content, is_advisor): a file's messages in order; date is its name without its ending."""
-    t = spark.read.option("wholetext", True).text(paths)
+    t = spark.read.text(paths, wholetext=True)
     date = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
     parts = [F.regexp_extract_all("value", F.lit(MESSAGE), F.lit(k)) for k in (1, 2, 3)]
     t = t.select(date.alias("date"), *[p.alias(n) for p, n in zip(parts, ("speaker", "ts", "content"), strict=True)])
