@@ -142,7 +142,8 @@ def rater_pairs(ratings: DataFrame, by: list[str] | None = None, threshold: floa
 
 
 def krippendorff(ratings: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by..., n, alpha) of rows (by..., item, rating): 1 - observed / expected squared differences; 1 where none is expected.
+    """(by..., n, alpha) of rows (by..., item, rating): 1 - observed / expected squared differences; 1 where none is
+    expected, and where no item has two ratings.
 
     The sum of squared differences of n values over all pairs is n * sum(x^2) - sum(x)^2: no pair is formed.
     """
@@ -158,4 +159,4 @@ def krippendorff(ratings: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
     do = F.try_divide(F.col("inside"), F.col("inside_pairs"))
     de = F.try_divide(F.col("n") * F.col("q") - F.col("s") * F.col("s"), _pairs(F.col("n")))
-    return g.select(*by, "n", F.when(de == 0, 1.0).otherwise(1 - F.try_divide(do, de)).alias("alpha"))
+    return g.select(*by, "n", F.when(F.coalesce(de, F.lit(0.0)) == 0, 1.0).otherwise(1 - F.try_divide(F.coalesce(do, F.lit(0.0)), de)).alias("alpha"))

@@ -153,7 +153,7 @@ def _ratings(spark, sf):
 
 @query(f"""WITH {RATINGS}, i AS (SELECT cluster, item, count(*) AS m, sum(rating) AS s, sum(rating * rating) AS q FROM r GROUP BY 1, 2),
     g AS (SELECT cluster, sum(m * q - s * s) AS ins, sum(m * (m - 1) / 2) AS ip, sum(m) AS n, sum(s) AS s, sum(q) AS q FROM i GROUP BY 1)
-    SELECT cluster, CAST(n AS BIGINT) AS n, round(1 - (ins / nullif(ip, 0)) / ((n * q - s * s) / (n * (n - 1) / 2)), 8) AS alpha FROM g""")
+    SELECT cluster, CAST(n AS BIGINT) AS n, round(1 - coalesce(ins / nullif(ip, 0), 0) / ((n * q - s * s) / (n * (n - 1) / 2)), 8) AS alpha FROM g""")
 def stat_krippendorff(spark, sf):
     return ag.krippendorff(_ratings(spark, sf), ["cluster"]).withColumn("alpha", F.round("alpha", 8))
 
