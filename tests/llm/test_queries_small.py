@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 import xxhash
 
-from scimap.llm import bpe, media, queries
+from scimap.llm import bpe, lm, media, queries, search, substring
 from scimap.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -135,6 +135,13 @@ def test_op10_equals_all_windows(spark, texts):
         want.append((i, len(w), len(w) - len(kept), sha(" ".join(kept).encode())))
     rows = queries.QUERIES["op10_substring_dedup"](spark, SF).collect()
     assert sorted(map(tuple, rows)) == sorted(want) and any(x[2] for x in want)
+    # the same from several chunks; spans and kept words agree
+    docs = table(spark, SF, "documents").repartition(5)
+    found = {r.id: r for r in substring.remove_repeats(docs).collect()}
+    for i, n, removed, digest in want:
+        r = found[i]
+        assert (r.n_words, r.n_removed, sha(r.kept_text.encode())) == (n, removed, digest)
+        assert sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2], strict=True)) == removed
 
 
 def test_op4_base_and_held_out_gain(spark, texts):
@@ -151,6 +158,9 @@ def test_op4_base_and_held_out_gain(spark, texts):
         ts = tokens[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(ts), sum(t in count for t in ts), n)
         assert r.base_score == pytest.approx(sum(np.log10((count.get(t, 0) + 1) / (n + v + 1)) for t in ts))
+    # the same from several chunks
+    again = {r.id: r for r in lm.score(table(spark, SF, "documents").repartition(5)).collect()}
+    assert all(again[r.doc_id].score == pytest.approx(r.score) and again[r.doc_id].n_known == r.n_known for r in rows)
     out = [r for r in rows if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
@@ -162,22 +172,25 @@ def test_op1_equals_exhaustive_scores(spark, texts):
     n, mean = len(words), sum(sum(w.values()) for w in words.values()) / len(words)
     df = Counter(t for w in words.values() for t in w)
     idf = {t: np.log1p((n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
+    weight = lambda tf: tf * 2.2 / (tf + 1.2)
     want = {}
     for q in words:
         if q % 20:
             continue
-        terms = sorted((t for t in words[q] if df[t] > 1), key=lambda t: (-words[q][t] * idf[t], xxhash.xxh64_intdigest(t)))[:25]
+        terms = sorted((t for t in words[q] if df[t] > 1), key=lambda t: (-weight(words[q][t]) * idf[t], xxhash.xxh64_intdigest(t)))[:25]
         scores = {}
         for i, w in words.items():
             size = sum(w.values())
-            own = [words[q][t] * idf[t] * w[t] * 2.2 / (w[t] + 1.2 * (0.25 + 0.75 * size / mean)) for t in terms if t in w]
+            own = [weight(words[q][t]) * idf[t] * w[t] * 2.2 / (w[t] + 1.2 * (0.25 + 0.75 * size / mean)) for t in terms if t in w]
             if own:
                 scores[i] = sum(own)
         best = sorted(scores.values(), reverse=True)[:10]
         want[q] = best, scores
     got = {}
-    for r in queries.QUERIES["op1_bm25_top_k"](spark, SF).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.doc_id, r.score))
+    # several chunks, so that global statistics differ from a shard's
+    docs = table(spark, SF, "documents").repartition(5)
+    for r in search.similar(docs, every=20, k=10, n_terms=25).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r.doc, r.score))
     assert {q for q, w in want.items() if w[0]} == set(got)
     for q, rows in got.items():
         rows.sort()
@@ -186,20 +199,23 @@ def test_op1_equals_exhaustive_scores(spark, texts):
 
 
 def test_block_max_wand_prunes_exactly():
-    from scimap.llm import search
-
     rng = np.random.default_rng(3)
-    for k in (1, 3, 10):
-        shard = search.Shard.__new__(search.Shard)
-        lists = [np.flatnonzero(rng.random(3000) < p) for p in (0.9, 0.5, 0.1, 0.01, 0.3)]
-        shard.starts = np.cumsum([0, *map(len, lists)])
-        shard.doc = np.concatenate(lists)
-        shard.value = rng.choice([0.5, 1.0, 1.5], len(shard.doc)) + (shard.doc < 300)
-        shard.lists = {}
-        weights = [0.2, 0.7, 2.0, 5.0, 1.0]
-        scores = {}
-        for t, w in enumerate(weights):
-            for d, v in zip(lists[t].tolist(), shard.value[shard.starts[t] : shard.starts[t + 1]].tolist(), strict=True):
-                scores[d] = scores.get(d, 0.0) + w * v
-        want = sorted(((s, d) for d, s in scores.items()), key=lambda x: (-x[0], x[1]))[:k]
-        assert search.wand(shard, list(range(5)), weights, k) == want
+    shard = search.Shard.__new__(search.Shard)
+    lists = [np.flatnonzero(rng.random(3000) < p) for p in (0.9, 0.5, 0.1, 0.01, 0.3)]
+    own = np.array(list(map(len, lists)))
+    shard.ids, shard.starts, shard.doc = np.arange(3000), np.cumsum([0, *own]), np.concatenate(lists)
+    shard.value = rng.choice([0.5, 1.0, 1.5], len(shard.doc)) + (shard.doc < 300)
+    shard.cut(5, own)
+    queries = [([0, 1, 2, 3, 4], [0.2, 0.7, 2.0, 5.0, 1.0]), ([3], [1.0]), ([0, 4], [1.0, 1.0]), ([1], [2.0])]
+    of = np.repeat(np.arange(4), [len(t) for t, _ in queries])
+    terms, weights = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
+    for k in (1, 3, 10, 5000):
+        want = []
+        for i, (ts, ws) in enumerate(queries):
+            scores = {}
+            for t, w in zip(ts, ws, strict=True):
+                for d, v in zip(lists[t].tolist(), shard.value[shard.starts[t] : shard.starts[t + 1]].tolist(), strict=True):
+                    scores[d] = scores.get(d, 0.0) + w * v
+            want += [(i, d, s) for s, d in sorted(((s, d) for d, s in scores.items()), key=lambda x: (-x[0], x[1]))[:k]]
+        for rows in (search.block_max_wand(shard, of, terms, weights, np.zeros(4), k), search.scored_whole(shard, of, terms, weights, k), search.best_of(shard, of, terms, weights, np.zeros(4), k)):
+            assert sorted(zip(*(x.tolist() for x in rows), strict=True)) == sorted(want)
