@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scimap.operators.ranks import running
+
 
 def _pairs(n: Column) -> Column:
     return n * (n - 1) / 2
@@ -105,8 +107,12 @@ def mean_ranks(rows: DataFrame, value: str, out: str, by: list[str] | None = Non
     """rows with the rank of value, ties sharing their mean. Equal values are counted first, so a tie is one row in the sort."""
     by = by or []
     counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.select(*by, value, (F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2).alias(out))
+    if by:
+        w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    else:
+        counts = running(counts, [F.col(value)], "_n").withColumn("_before", F.col("running") - F.col("_n"))
+    ranked = counts.select(*by, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
     return rows.join(ranked, [*by, value])
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scimap.operators.ranks import running
+
 
 def lotka(distribution: DataFrame) -> DataFrame:
     """One row alpha, c, r_squared, n_items: the log-log line through (n_items, n) of productivity().
@@ -36,9 +38,7 @@ def lotka(distribution: DataFrame) -> DataFrame:
 
 def _ranked(counts: DataFrame) -> DataFrame:
     """Counts with rank i, running sum and total. Equal counts are ordered by item."""
-    w = Window.partitionBy(F.lit(1)).orderBy(F.col("n").desc(), "item")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("i", F.row_number().over(w)).withColumn("running", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
+    return running(counts, [F.col("n").desc(), F.col("item")], "n")
 
 
 def bradford_zones(counts: DataFrame, n_zones: int = 3) -> DataFrame:
@@ -72,8 +72,8 @@ def bradford_multiplier(summary: DataFrame) -> DataFrame:
 def concentration_curve(counts: DataFrame) -> DataFrame:
     """(item, source_share, document_share): cumulative shares, largest first."""
     r = _ranked(counts)
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    return r.select("item", (F.col("i") / n).alias("source_share"), (F.col("running") / F.col("total")).alias("document_share"))
+    r = r.crossJoin(r.agg(F.max("i").alias("_last")))
+    return r.select("item", (F.col("i") / F.col("_last")).alias("source_share"), (F.col("running") / F.col("total")).alias("document_share"))
 
 
 def hhi(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
