@@ -8,20 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: A Python function sees texts of about so many characters at a time, however many rows a batch holds.
-STEP = 4 << 20
-
-
-def slices(batch: pa.RecordBatch, texts: list[str]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """The batch in runs of rows with about STEP characters of text."""
-    begin, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= STEP:
-            yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield batch.slice(begin), texts[begin:]
+#: A Python function sees so many rows at a time, however many a batch holds.
+STEP = 256
 
 
 def with_text_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable, drop: bool = False) -> DataFrame:
@@ -37,8 +25,9 @@ def with_text_columns(df: DataFrame, text_col: str, fields: list[T.StructField],
         of = make()
         for batch in batches:
             at = columns.index(text_col)
-            for part, texts in slices(batch, [x or "" for x in batch.column(at).to_pylist()]):
+            for begin in range(0, batch.num_rows, STEP):
+                part = batch.slice(begin, STEP)
                 own = [part.column(i) for i, name in enumerate(columns) if not (drop and name == text_col)]
-                yield pa.RecordBatch.from_arrays(own + of(texts), names=names)
+                yield pa.RecordBatch.from_arrays(own + of([x or "" for x in part.column(at).to_pylist()]), names=names)
 
     return df.mapInArrow(run, T.StructType(keep + fields))

@@ -192,6 +192,24 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pat
     return with_text_columns(docs, text_col, [T.StructField(n, T.LongType()), T.StructField(ids, T.BinaryType())], make, drop_text)
 
 
+def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """decode(encode(docs)) without the text, in one Python worker a task: docs with n_tokens, ids and decoded."""
+    path, pattern = path or default_path(), pattern or default_pattern()
+    names = fresh(docs, "n_tokens", "ids", "decoded")
+
+    def make():
+        bpe = load(path, pattern)
+
+        def of(texts: list[str]) -> list[pa.Array]:
+            ids = [bpe.encode(t) for t in texts]
+            return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())]
+
+        return of
+
+    kinds = (T.LongType(), T.BinaryType(), T.BinaryType())
+    return with_text_columns(docs, text_col, [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)], make, drop=True)
+
+
 def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """encoded with decoded (binary): the bytes of the ids. Null ids give empty bytes; all rows and columns stay."""
     path, pattern = path or default_path(), pattern or default_pattern()

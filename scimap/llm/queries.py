@@ -18,7 +18,7 @@ def op1_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded by byte_bpe_50k and decoded again."""
-    d = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True))
+    d = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
