@@ -29,13 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, bucket_by: str | None = None, buckets: int = 0) -> DataFrame:
+def written(df: DataFrame, bucket_by: str | None = None, buckets: int = 0, small: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: later reads do not recompute it.
 
-    With bucket_by, the table is bucketed by that column, so that joins and groups on it move only the other side.
+    small: a row has a few numbers, so there are twice as many files as cores at most. With bucket_by, the table is bucketed by that column, so that joins and groups on it move only the other side.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scimap-{uuid.uuid4().hex}"
+    if small:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     out = df.write.option("compression", "zstd")
     if bucket_by is None:
         out.parquet(path)
@@ -45,6 +47,11 @@ def written(df: DataFrame, bucket_by: str | None = None, buckets: int = 0) -> Da
     return spark.table(name)
 
 
+def right_sized(df: DataFrame) -> DataFrame:
+    """df in four partitions a core at most: a stage's result is not cut into very small files."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores added until df has no such columns (in any case)."""
     have = {c.lower() for c in df.columns}

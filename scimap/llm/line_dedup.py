@@ -32,11 +32,13 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     line = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
     key = ascii_lower(F.btrim("line", F.lit(SPACE)))
     line = line.withColumn("key", key).where(F.col("key") != "").select(F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), "id", "pos", "text_hash")
-    line = written(line.repartitionByRange(n, "h1", "h2", "id", "pos").sortWithinPartitions("h1", "h2", "id", "pos"))
+    line = written(line.repartitionByRange(n, "h1", "h2", "id", "pos").sortWithinPartitions("h1", "h2", "id", "pos"), small=True)
     per_doc = line.groupBy("h1", "h2", "id").agg(F.min("pos").alias("pos"))
     first = F.min(F.struct("id", "pos")).alias("first")
     often = per_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), first).where(F.col("n_docs") >= min_docs)
-    hit = line.join(often.select("h1", "h2", "first"), ["h1", "h2"])
+    # a table of its own: Spark sees its size, broadcasts it if it is small, else splits the lines' large partitions
+    often = written(often.select("h1", "h2", "first"), small=True)
+    hit = line.join(often, ["h1", "h2"])
     if keep_first:
         hit = hit.where(~F.struct("id", "pos").eqNullSafe(F.col("first")))
     word = hit.groupBy("id", "text_hash", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(
@@ -53,7 +55,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     n_lines, n_dropped, kept, words, th, lines = fresh(docs, "n_lines", "n_dropped", "kept_text", "words", "text_hash", "lines")
     b = bitmaps.select(F.col("id").alias("_id"), F.col("text_hash").alias("_th"), F.col("words").alias(words))
     d = docs.withColumn(th, F.xxhash64(text_col))
-    d = d.join(b, d[id_col].eqNullSafe(b["_id"]) & (d[th] == b["_th"]), "left").drop("_id", "_th", th)
+    # texts are not sorted: the small side is hashed
+    d = d.join(b.hint("shuffle_hash"), d[id_col].eqNullSafe(b["_id"]) & (d[th] == b["_th"]), "left").drop("_id", "_th", th)
     d = d.withColumn(lines, lines_of(F.col(text_col)))
     # the bits of all lines' words, so that a line finds its own by position
     dense = F.expr(f"transform(sequence(0, (size(`{lines}`) - 1) div 64), w -> coalesce(get(filter(`{words}`, x -> x.word = w), 0).bits, 0L))")

@@ -113,6 +113,7 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     m = m.select("id", "source", "text_hash", n.alias("times")).groupBy("id", "source", "text_hash").agg(F.max("times").alias("times"))
     d = docs.withColumn(th, F.xxhash64(text_col))
     m = m.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_th"), F.col("times").alias(times))
-    d = d.join(m, d[id_col].eqNullSafe(m["_id"]) & d[source_col].eqNullSafe(m["_source"]) & (d[th] == m["_th"]))
+    # texts are not sorted: the small side is hashed
+    d = d.join(m.hint("shuffle_hash"), d[id_col].eqNullSafe(m["_id"]) & d[source_col].eqNullSafe(m["_source"]) & (d[th] == m["_th"]))
     d = d.where(F.col(times) > 0).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
     return d.select(*[F.col(f"`{c}`") for c in docs.columns])

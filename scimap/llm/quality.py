@@ -151,6 +151,16 @@ def scored(rows: DataFrame, model: Model, x_col: str = "x") -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*keep, T.StructField(name, T.DoubleType())]))
 
 
+def scored_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with score (double), from their texts in one pass."""
+    (name,) = fresh(docs, "score")
+
+    def make():
+        return lambda texts: [pa.array(model.score(np.array([statistics(t) for t in texts])))]
+
+    return with_text_columns(docs, text_col, [T.StructField(name, T.DoubleType())], make)
+
+
 def is_held_out(id_col: str = "doc_id"):
     """Documents that are never learned from: crc32 of the id as text, modulo 4, is 2. Null ids are held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(True))
@@ -176,7 +186,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of docs that score at least threshold, with docs' columns."""
     x = written(features(docs.select(id_col, text_col), text_col, drop_text=True))
-    model = train(x, labels, id_col)
-    f = features(docs, text_col)
-    s = scored(f, model, f.columns[-1])
+    s = scored_texts(docs, train(x, labels, id_col), text_col)
     return s.where(F.col(s.columns[-1]) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -188,14 +188,14 @@ def components(edges: DataFrame) -> DataFrame:
         return e.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
 
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = written(edges), None
+    edges, before = written(edges, small=True), None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = both.join(smallest(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         small = low.join(smallest(low), "a")
         small = small.select(F.explode(F.array(F.struct(F.col("a").alias("x"), "m"), F.struct(F.col("b").alias("x"), "m"))).alias("e"))
-        edges = written(small.select(F.col("e.x").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
+        edges = written(small.select(F.col("e.x").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), small=True)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -213,10 +213,10 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     d = written(fingerprints(d, "text", words))
     who = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("first")
-    distinct = written(d.groupBy("fp").agg(who))
+    distinct = written(d.groupBy("fp").agg(who), small=True)
     roots = components(links(distinct.select("fp")))
     of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    of = written(of)
+    of = written(of, small=True)
     firsts = of.groupBy("root").agg(F.min("first").alias("first"))
     of = of.select("fp", "root").join(firsts, "root")
     return d.join(of, "fp").select("id", "text_hash", "fp", "root", F.col("first.id").alias("component_id"), "first")
@@ -224,8 +224,11 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """One document of each component: that with the smallest id (of repeated ids, the smallest text hash). Columns as docs."""
-    a = assign(docs, id_col, text_col, words)
+    a = written(assign(docs, id_col, text_col, words).select("id", "text_hash", "root", "first"), small=True)
     first = a.select("root", "first").distinct().select(F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_th"))
     d = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    kept = d.join(first, d[id_col].eqNullSafe(first["_id"]) & (d["_text_hash"] == first["_th"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_text_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # texts are not sorted: the small side is hashed
+    kept = d.join(first.hint("shuffle_hash"), d[id_col].eqNullSafe(first["_id"]) & (d["_text_hash"] == first["_th"]), "left_semi")
+    if not a.groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, "_text_hash"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
