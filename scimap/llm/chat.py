@@ -28,23 +28,28 @@ def rotate_perspectives(messages: DataFrame, system: tuple[str, ...] = SYSTEM, s
         "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
     people = m.where(~F.col("role").isin(*system)).select(F.col("conv_id").alias("_c"), F.col("role").alias("perspective")).distinct()
-    m = m.join(people, m["conv_id"].eqNullSafe(people["_c"])).drop("_c")
-    head = (
-        F.when(F.col("role").isin(*system), F.lit("<|system|>"))
-        .when(F.col("role") == F.col("perspective"), F.lit("<|assistant|>"))
-        .otherwise(F.concat(F.lit("<|user:"), F.col("role"), F.lit("|>")))
-    )
-    m = m.withColumn("head", F.concat(head, F.lit("\n"))).withColumn("body", F.concat("text", F.lit("<|end|>")))
     m = m.withColumn("segment", F.floor(F.col("turn") / segment_turns).cast("long"))
-    row = F.struct("turn", "role", "text", "head", "body")
-    g = m.groupBy("conv_id", "perspective", "segment").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    # messages are gathered once, and then rendered for each participant: no view is shuffled
+    g = m.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("rows"))
+    g = g.join(people, g["conv_id"].eqNullSafe(people["_c"])).drop("_c")
+    own, by = F.lit("<|assistant|>\n"), F.col("perspective")
+
+    def message(x):
+        head = (
+            F.when(x["role"].isin(*system), F.lit("<|system|>\n"))
+            .when(x["role"] == by, own)
+            .otherwise(F.concat(F.lit("<|user:"), x["role"], F.lit("|>\n")))
+        )
+        return F.struct(head.alias("head"), F.concat(x["text"], F.lit("<|end|>")).alias("body"))
+
+    g = g.withColumn("rows", F.transform("rows", message))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"))
 
     def add(acc, x):
         begin = acc["at"] + F.length(x["head"])
         end = begin + F.length(x["body"])
-        own = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        spans = F.when(x["head"] == F.lit("<|assistant|>\n"), F.concat(acc["spans"], own)).otherwise(acc["spans"])
+        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
+        spans = F.when(x["head"] == own, F.concat(acc["spans"], span)).otherwise(acc["spans"])
         return F.struct((end + 1).alias("at"), spans.alias("spans"))
 
     g = g.withColumn("spans", F.aggregate("rows", start, add, lambda a: a["spans"]))
