@@ -134,8 +134,8 @@ def exchange(chunks: DataFrame, answers: list[DataFrame], send: Callable, combin
 
     send(chunk, *earlier answers) gives (sorted distinct keys, list of n_values arrays of integers aligned with them).
     combine(list of (keys, values...)) of all chunks' parts of a bucket gives a list of tuples of arrays of
-    non-negative integers, aligned with each part's keys, and a tuple of two numbers to be summed over all buckets.
-    A row with chunk_id null has an answer of two packed sums for each bucket.
+    non-negative integers, aligned with each part's keys, and a tuple of numbers to be summed over all buckets.
+    The row with chunk_id null has these numbers for each bucket.
     """
     names = [f"v{i}" for i in range(n_values)]
     schema = "bucket int, chunk_id bigint, n bigint, keys binary, " + ", ".join(f"{v} binary" for v in names)
@@ -192,10 +192,10 @@ def answer_for(keys: np.ndarray, answer: list[bytes] | None, buckets: int) -> li
     return arrays_of(answer or [], sizes)
 
 
-def sums_of(answers: DataFrame) -> np.ndarray:
-    """The sums over all buckets of the two numbers of an exchange."""
+def sums_of(answers: DataFrame, k: int) -> np.ndarray:
+    """The sums over all buckets of the k numbers of an exchange."""
     row = answers.where("chunk_id IS NULL").first()
-    return sum((np.frombuffer(x, "<i8") for x in row["answer"]), np.zeros(2, np.int64)) if row else np.zeros(2, np.int64)
+    return sum((np.frombuffer(x, "<i8") for x in row["answer"]), np.zeros(k, np.int64)) if row else np.zeros(k, np.int64)
 
 
 def joined(chunks: DataFrame, answers: list[DataFrame]) -> DataFrame:

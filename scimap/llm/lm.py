@@ -75,14 +75,14 @@ def _send(chunk: Chunk) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def _combine(parts: list) -> tuple[list, tuple[int, int]]:
-    """Total counts; the sums are tokens N and distinct tokens V."""
+    """Total counts; the sums are tokens N, distinct tokens V and deleted tokens."""
     keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     rest, gone = (np.bincount(back, np.concatenate([p[k] for p in parts]).astype(np.float64), len(keys)) for k in (1, 2))
     cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
     found = list(zip(np.split(rest[back].astype(np.uint64), cuts), np.split(gone[back].astype(np.uint64), cuts), strict=True))
     tokens = (keys & np.uint64(1)) == 0
     total = (rest + gone)[tokens]
-    return found, (int(total.sum()), int((total > 0).sum()))
+    return found, (int(total.sum()), int((total > 0).sum()), int(gone[tokens].sum()))
 
 
 def bucket_of(count: np.ndarray) -> np.ndarray:
@@ -133,9 +133,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     chunks = chunked(docs, id_col, text_col)
     buckets = n_buckets(chunks)
     counts = exchange(chunks, [], _send, _combine, buckets, 2)
-    n, v = (int(x) for x in sums_of(counts))
+    n, v, deleted = (int(x) for x in sums_of(counts, 3))
     rows = joined(chunks, [counts])
-    remaining = max(1.0, 5 / 6 * n)  # tokens outside the deleted part, about
+    remaining = max(1, n - deleted)
 
     def deleted_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, chunk, (answer,) in opened(batches):
