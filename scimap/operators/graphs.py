@@ -135,16 +135,25 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int | None = None, damp
     out = e.groupBy("u").agg(F.sum("weight").alias("w"))
     e = checkpointed(e.join(out, "u").select("u", "v", (F.col("weight") / F.col("w")).alias("share")))
     rank = checkpointed(nodes.select("node", F.lit(1.0 / max(n, 1)).alias("rank")).join(out.select(F.col("u").alias("node"), F.lit(True).alias("linked")), "node", "left"))
+    alone = not rank.where("linked IS NULL").isEmpty()
     for i in range(rounds or most):
-        lost = rank.where("linked IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         got = e.join(rank.select(F.col("node").alias("u"), "rank"), "u").groupBy(F.col("v").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        value = damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n) + (1 - damping) / n
-        now = rank.join(got, "node", "left").crossJoin(lost).select("node", value.alias("rank"), "linked", F.abs(value - F.col("rank")).alias("change"))
-        if rounds is None or i % 5 == 4:
+        if alone:
+            lost = rank.where("linked IS NULL").agg(F.sum("rank").alias("lost"))
+            got = rank.select("node", F.col("rank").alias("old"), "linked").join(got, "node", "left").crossJoin(lost)
+            value = damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n) + (1 - damping) / n
+            now = got.select("node", value.alias("rank"), "linked", "old")
+        else:
+            now = got.select("node", (damping * F.col("got") + (1 - damping) / n).alias("rank"), F.lit(True).alias("linked"))
+        if rounds is None:
+            if not alone:
+                now = now.join(rank.select("node", F.col("rank").alias("old")), "node")
+            now = checkpointed(now)
+            if (now.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) < n * tolerance:
+                return now.select("node", "rank")
+        elif i % 5 == 4:
             now = checkpointed(now)
         rank = now.select("node", "rank", "linked")
-        if rounds is None and (now.agg(F.sum("change")).first()[0] or 0.0) < n * tolerance:
-            break
     return rank.select("node", "rank")
 
 
