@@ -112,7 +112,6 @@ PLATFORM_PATTERNS = {"construct": r"\bconstruct\s*(?:2|3|classic|engine|game\s+e
 EDUCATION_TERMS = ["education", "teaching", "learning", "curriculum", "student", "course", "classroom", "pedagog", "instruction", "training", "school", "university", "undergraduate", "k-12", "learner", "competenc", "skill"]
 GAME_TERMS = ["game development", "game design", "game programming", "game engine", "serious game", "game-based", "gamif", "video game", "game jam", "game creation", "developing games", "making games", "game-making"]
 
-THEME_WORDS = ["vosviewer", "вос виюрер", "воз виюрер", "возвьюер", "вос вюер", "cluster", "кластер", "карта", "map", "сеть", "network", "coauthorship", "co-authorship", "citation", "coupling", "co-citation", "keyword", "ключевые слова", "слова"]
 TOPIC_WORDS = ["unity", "юники", "юнити", "game", "игра", "игры", "гейм", "virtual reality", "виртуальная реальность", "vr", "вр", "augmented reality", "дополненная реальность", "ar", "ар", "education", "образование", "обучение", "serious game", "серьезные игры", "development", "разработка", "девелопмент", "gamification", "геймификация", "motivation", "мотивация", "3d", "три д", "трехмерный"]
 
 #: Message categories: the first pattern that matches names the category.

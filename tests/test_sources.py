@@ -15,27 +15,27 @@ NET = "﻿1\t2\t3\n1\t3\t2\n2\t1\t9\n2\t3\nx\ty\tz\n1\t99\t1\n5\n"
 
 @pytest.fixture
 def network_files(tmp_path):
-    for folder, name, text in (("map", "cosco5", MAP), ("map", "cosco12", SHIFTED), ("net", "cosco5", NET)):
+    for folder, name, text in (("map", "net_a", MAP), ("map", "net_b", SHIFTED), ("net", "net_a", NET)):
         (tmp_path / folder).mkdir(exist_ok=True)
         (tmp_path / folder / f"{name}.txt").write_text(text, encoding="utf-8")
-    (tmp_path / "net" / "cosco12.txt").write_text("﻿", encoding="utf-8")
+    (tmp_path / "net" / "net_b.txt").write_text("﻿", encoding="utf-8")
     return tmp_path
 
 
 def test_map_and_net_files(spark, network_files):
     nodes = networks.read_maps(spark, f"{network_files}/map")
     rows = {(r.graph, r.node): r for r in nodes.collect()}
-    assert set(rows) == {("cosco5", 1), ("cosco5", 2), ("cosco5", 3), ("cosco12", 7)}
-    assert rows["cosco5", 1].mean_year == 2022 and rows["cosco5", 2].mean_norm_citations is None
-    assert rows["cosco5", 3].label == "education again" and rows["cosco5", 3].mean_year is None
-    shifted = rows["cosco12", 7]
+    assert set(rows) == {("net_a", 1), ("net_a", 2), ("net_a", 3), ("net_b", 7)}
+    assert rows["net_a", 1].mean_year == 2022 and rows["net_a", 2].mean_norm_citations is None
+    assert rows["net_a", 3].label == "education again" and rows["net_a", 3].mean_year is None
+    shifted = rows["net_b", 7]
     assert (shifted.links, shifted.strength, shifted.occurrences, shifted.mean_year, shifted.mean_citations) == (3, 4, 3, 4.0, 9.0)
-    strict = networks.read_maps(spark, f"{network_files}/map/cosco12.txt", strict=True).collect()[0]
+    strict = networks.read_maps(spark, f"{network_files}/map/net_b.txt", strict=True).collect()[0]
     assert (strict.links, strict.strength, strict.occurrences, strict.mean_year) == (3, 4, 0, None)
     edges = networks.assemble(nodes, networks.read_nets(spark, f"{network_files}/net"))
-    assert sorted(map(tuple, edges.collect())) == [("cosco5", 1, 2, 9), ("cosco5", 1, 3, 2), ("cosco5", 2, 3, 1)]
-    one = edges.where("graph = 'cosco5'").drop("graph")
-    mine = nodes.where("graph = 'cosco5'")
+    assert sorted(map(tuple, edges.collect())) == [("net_a", 1, 2, 9), ("net_a", 1, 3, 2), ("net_a", 2, 3, 1)]
+    one = edges.where("graph = 'net_a'").drop("graph")
+    mine = nodes.where("graph = 'net_a'")
     m = gr.network_metrics(mine.select("node"), one, mine.select("node", "cluster")).collect()[0]
     assert (m.n, m.m, m.components, m.diameter, m.density) == (3, 3, 1, 1, 1.0)
 
