@@ -32,6 +32,7 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     line = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
     key = ascii_lower(F.btrim("line", F.lit(SPACE)))
     line = line.withColumn("key", key).where(F.col("key") != "").select(F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), "id", "pos", "text_hash")
+    line = written(line)  # texts are split once; ranges are sampled from hashes
     line = written(line.repartitionByRange(n, "h1", "h2", "id", "pos").sortWithinPartitions("h1", "h2", "id", "pos"), small=True)
     per_doc = line.groupBy("h1", "h2", "id").agg(F.min("pos").alias("pos"))
     first = F.min(F.struct("id", "pos")).alias("first")
