@@ -105,11 +105,12 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k] * s.size, pa.int32()), pa.array(range(s.size), pa.int32()), pa.array(s.ravel())], names=["label", "i", "v"])
 
 
-def fit(examples: DataFrame, pooled: float = 0.8, diagonal: float = 0.05) -> Model:
+def fit(examples: DataFrame, pooled: float = 0.9, diagonal: float = 0.05) -> Model:
     """A model from rows (label 0/1, x). Sums of products are aggregated on the executors; (1 + d)^2 numbers a class are collected.
 
-    pooled: the share of the pooled covariance in a class's; diagonal: the share of its own diagonal after that. Rows
-    with null or other labels don't count. Without examples of both classes every score is the share of label 1, or
+    pooled: the share of the pooled covariance in a class's; diagonal: the share of its own diagonal after that. The
+    defaults are the best of 16 settings by cross-validation within the rows that aren't held out, but for pooled = 1,
+    which would make the rule linear. Rows with null or other labels don't count. Without examples of both classes every score is the share of label 1, or
     0.5 without any.
     """
     rows = examples.where("label in (0, 1)").select(F.col("label").cast("int").alias("label"), "x").mapInArrow(_moments, "label int, i int, v double")
