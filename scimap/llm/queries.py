@@ -11,8 +11,8 @@ from scimap.llm.common import table
 
 
 def op1_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10 best documents of all for each document whose id is divisible by 20, by its 25 most telling terms."""
-    s = search.similar(table(spark, sf_dir, "documents"), every=20, k=10, n_terms=25)
+    """The 10 best documents of all for each document whose id is divisible by 20, by all terms of its whole text."""
+    s = search.similar(table(spark, sf_dir, "documents"), every=20, k=10)
     return s.select(F.col("query").alias("query_id"), "rank", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
