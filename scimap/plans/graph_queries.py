@@ -163,7 +163,7 @@ def graph_resolution_sweep(spark, sf):
 
 @query()
 def stat_bootstrap_stability(spark, sf):
-    s = cm.stability_summary(cm.bootstrap_stability(_named(spark, sf), replicates=40))
+    s = cm.stability_summary(cm.bootstrap_stability(_named(spark, sf)))
     return s.select("graph", "n", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "low", "high")])
 
 

@@ -176,7 +176,7 @@ def delphi_revision(spark, sf):
 
 @query()
 def stat_bootstrap_alpha(spark, sf):
-    a = delphi.bootstrap_alpha(_ratings(spark, sf), 100)
+    a = delphi.bootstrap_alpha(_ratings(spark, sf))
     return a.select("cluster", *[F.round(c, 6).alias(c) for c in ("alpha", "low", "high")])
 
 
@@ -186,6 +186,6 @@ def delphi_simulation(spark, sf):
     n = table(spark, sf, "nation")
     panel = n.where("n_nationkey < 8").select(F.col("n_name").alias("rater"), (F.col("n_nationkey") * 3).alias("experience"))
     clusters = table(spark, sf, "region").select(F.col("r_name").alias("cluster"), (2.5 + F.col("r_regionkey") / 2).alias("consensus"))
-    out = delphi.simulate(panel, clusters, replicates=50)
+    out = delphi.simulate(panel, clusters)
     rows = out["kappa"].join(out["alpha"], "cluster").join(out["decisions"], "cluster")
     return rows.select("cluster", "decision", "n_pairs", *[F.round(c, 6).alias(c) for c in ("mean", "least", "most", "alpha", "low", "high")])
