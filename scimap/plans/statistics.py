@@ -145,8 +145,8 @@ RATINGS = "r AS (SELECT DISTINCT CAST(s_nationkey % 5 AS INTEGER) AS cluster, s_
 
 
 def _ratings(spark, sf):
-    """A small table of ratings 1 to 5 by the first 100 suppliers, made of their keys: who rates is a fixed panel."""
-    s = table(spark, sf, "supplier").where("s_suppkey < 100").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    """Ratings 1 to 5 by all suppliers, made of their keys. RATINGS still ends at 100 suppliers; on more, its SQL differs."""
+    s = table(spark, sf, "supplier").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(10))))
     rating = 1 + (F.col("s_suppkey") * 7 + F.col("i") * F.col("i") * 3 + F.col("s_nationkey") * F.col("i")) % 5
     return s.select((F.col("s_nationkey") % 5).cast("int").alias("cluster"), F.col("s_suppkey").alias("rater"), F.col("i").alias("item"), rating.cast("int").alias("rating"))
 
@@ -182,9 +182,9 @@ def stat_bootstrap_alpha(spark, sf):
 
 @query()
 def delphi_simulation(spark, sf):
-    """A simulated panel: the suppliers of each region's first nations rate the regions."""
+    """A simulated panel: all nations rate the regions."""
     n = table(spark, sf, "nation")
-    panel = n.where("n_nationkey < 8").select(F.col("n_name").alias("rater"), (F.col("n_nationkey") * 3).alias("experience"))
+    panel = n.select(F.col("n_name").alias("rater"), (F.col("n_nationkey") * 3).alias("experience"))
     clusters = table(spark, sf, "region").select(F.col("r_name").alias("cluster"), (2.5 + F.col("r_regionkey") / 2).alias("consensus"))
     out = delphi.simulate(panel, clusters)
     rows = out["kappa"].join(out["alpha"], "cluster").join(out["decisions"], "cluster")
