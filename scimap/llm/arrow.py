@@ -30,4 +30,5 @@ def with_text_columns(df: DataFrame, text_col: str, fields: list[T.StructField],
                 own = [part.column(i) for i, name in enumerate(columns) if not (drop and name == text_col)]
                 yield pa.RecordBatch.from_arrays(own + of([x or "" for x in part.column(at).to_pylist()]), names=names)
 
-    return df.mapInArrow(run, T.StructType(keep + fields))
+    # mapInArrow() looks its columns up by name, which fails for names with dots
+    return df.toDF(*[f"c{i}" for i in range(len(columns))]).mapInArrow(run, T.StructType(keep + fields))

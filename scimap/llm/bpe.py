@@ -175,13 +175,13 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pat
 
     Each match of pattern is encoded by itself, without special tokens. Null and empty texts have no ids (0, empty
     binary). All rows and columns stay, repeated rows too; the new columns get underscores added if docs has such
-    columns. An empty table stays empty. The ranks' file must be at the same path on every executor.
+    columns. An empty table stays empty. Tasks open the ranks' file themselves: by default that of their own
+    public_tokenizers, else a path that every executor must have.
     """
-    path, pattern = path or default_path(), pattern or default_pattern()
     n, ids = fresh(docs, "n_tokens", "ids")
 
     def make():
-        bpe = load(path, pattern)
+        bpe = load(path or default_path(), pattern or default_pattern())
 
         def of(texts: list[str]) -> list[pa.Array]:
             out = [bpe.encode(t) for t in texts]
@@ -194,11 +194,10 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pat
 
 def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """decode(encode(docs)) without the text, in one Python worker a task: docs with n_tokens, ids and decoded."""
-    path, pattern = path or default_path(), pattern or default_pattern()
     names = fresh(docs, "n_tokens", "ids", "decoded")
 
     def make():
-        bpe = load(path, pattern)
+        bpe = load(path or default_path(), pattern or default_pattern())
 
         def of(texts: list[str]) -> list[pa.Array]:
             ids = [bpe.encode(t) for t in texts]
@@ -212,11 +211,10 @@ def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None,
 
 def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """encoded with decoded (binary): the bytes of the ids. Null ids give empty bytes; all rows and columns stay."""
-    path, pattern = path or default_path(), pattern or default_pattern()
     (name,) = fresh(encoded, "decoded")
 
     def make():
-        bpe = load(path, pattern)
+        bpe = load(path or default_path(), pattern or default_pattern())
         return lambda ids: [pa.array([bpe.decode(x) if x else b"" for x in ids], pa.binary())]
 
     return with_text_columns(encoded, ids_col, [T.StructField(name, T.BinaryType())], make)

@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Messages by these speakers are instructions: they are rendered as such in every view and never learned.
 SYSTEM = ("system",)
 
 
+def escaped(text: Column) -> Column:
+    """The text without the marks that begin headings and ends."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
+
+
 def rotate_perspectives(messages: DataFrame, system: tuple[str, ...] = SYSTEM, segment_turns: int = 64) -> DataFrame:
     """One view of each conversation for each of its participants (the distinct speakers other than `system`).
 
     messages: conv_id, turn, role, text; further columns are ignored. In the view of p, p's messages are headed
     <|assistant|> and learned; those of a speaker s other than p are headed <|user:s|>, system messages <|system|>.
-    A message is its heading, a line break, its text, <|end|> and a line break. Columns:
+    A message is its heading, a line break, its text, <|end|> and a line break. So that no text or name can pass for a
+    heading or an end, "<", any number of backslashes and "|" in them get one more backslash before "|"; to read a
+    text back, one is taken away. perspective is the name as it is. Columns:
 
     conv_id, perspective, segment, n_messages, dialogue (the rendered segment), spans (array of the segment's learned
     parts as struct<start, end> in characters, end excluded: the text and its <|end|>), n_learned (their characters).
 
     A segment holds segment_turns successive turn numbers, so that a conversation of any length is rendered in bounded
-    rows, and in order: by turn (null first, in a segment of its own, null), role, text. Null roles are a participant
+    rows; the whole dialogue is its segments' by number, one after the other. Messages are in order: by turn (null first, in a segment of its own, null), role, text. Null roles are a participant
     named 'unknown'; null texts are empty; null conversations are one conversation; repeated rows are repeated messages.
     A conversation of system messages alone has no participant and so no view. An empty table gives no rows.
     """
@@ -38,9 +45,9 @@ def rotate_perspectives(messages: DataFrame, system: tuple[str, ...] = SYSTEM, s
         head = (
             F.when(x["role"].isin(*system), F.lit("<|system|>\n"))
             .when(x["role"] == by, own)
-            .otherwise(F.concat(F.lit("<|user:"), x["role"], F.lit("|>\n")))
+            .otherwise(F.concat(F.lit("<|user:"), escaped(x["role"]), F.lit("|>\n")))
         )
-        return F.struct(head.alias("head"), F.concat(x["text"], F.lit("<|end|>")).alias("body"))
+        return F.struct(head.alias("head"), F.concat(escaped(x["text"]), F.lit("<|end|>")).alias("body"))
 
     g = g.withColumn("rows", F.transform("rows", message))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"))

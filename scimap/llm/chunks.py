@@ -5,13 +5,16 @@ input. Here a chunk (a few MB of text, compressed, in a table bucketed by chunk)
 64-bit hashes cut into buckets by their leading bits, as packed arrays. A bucket's task sees all chunks' keys of its
 range, combines what they say, and answers each chunk in the order of the keys that it sent, so that answers carry no
 keys. A key of any frequency is one entry in each chunk's message: there are no hot keys. The table is bucketed, so
-answers are joined to it without moving texts again.
+answers are joined to it without moving texts again. Of very many buckets, chunks send to ranges by way of nodes, so
+that messages don't grow with the square of the text; see route().
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scimap.llm.common import written
+from scimap.llm.common import col, input_bytes, written
 
-#: Bytes of text in a chunk, and of all text for each bucket of keys.
-CHUNK, BUCKET = 8 << 20, 8 << 20
+#: Bytes of text in a chunk, of all text for each bucket of keys, and of files for each partition.
+CHUNK, BUCKET, PART = 8 << 20, 8 << 20, 64 << 20
+#: Buckets of keys that a chunk sends to itself; of more, it sends to ranges of buckets.
+FAN = 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,7 +74,7 @@ def window_hashes(hashes: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
     return out
 
 
-def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack_chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     """(id, text) -> (chunk_id, n_docs, n_bytes, ids, missing, sizes, data); ids are ascending, null ids last."""
 
     def chunk(rows: list) -> pa.RecordBatch:
@@ -85,19 +90,44 @@ def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             held.append((row[0], (row[1] or "").encode()))
             size += len(held[-1][1]) + 64
-            if size >= CHUNK:
+            if size >= chunk_bytes:
                 yield chunk(held)
                 held, size = [], 0
     if held:
         yield chunk(held)
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs' ids (integers) and texts (null: empty) as a written table of chunks, bucketed by chunk_id."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+@dataclass
+class Chunked:
+    """A written table of chunks, its number of buckets of files, that of keys, and the most of these that a chunk sends to itself."""
+
+    table: DataFrame
+    parts: int
+    buckets: int
+    n_chunks: int
+    n_docs: int
+    fan: int
+
+    @property
+    def ranges(self) -> int:
+        """Parts that a chunk's keys are sent in; see route()."""
+        return route(self.n_chunks, self.buckets, self.fan)[0]
+
+
+def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK, bucket_bytes: int = BUCKET, fan: int | None = None) -> Chunked:
+    """docs' ids (integers) and texts (null: empty) as a written table of chunks, bucketed by chunk_id.
+
+    chunk_bytes: the text of a chunk, which a task holds with its words and keys; a longer text is a chunk of its own.
+    bucket_bytes: the text for each bucket of keys, which a task holds too. The table has a bucket of files for each PART
+    bytes of docs' files (as many as Spark's bucketing allows), and as many as the session's shuffles have partitions at least.
+    """
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(100_000, max(least, -(-(input_bytes(docs) or 0) // PART)))
     schema = "chunk_id bigint, n_docs bigint, n_bytes bigint, ids binary, missing bigint, sizes binary, data binary"
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_pack_chunks, schema)
-    return written(rows, "chunk_id", buckets)
+    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
+    table = written(rows.mapInArrow(lambda batches: _pack_chunks(batches, chunk_bytes), schema), "chunk_id", parts)
+    n, n_docs, n_bytes = (int(x or 0) for x in table.agg(F.count(F.lit(1)), F.sum("n_docs"), F.sum("n_bytes")).first())
+    return Chunked(table, parts, n_bytes // bucket_bytes + 1, n, n_docs, fan or FAN)
 
 
 class Chunk:
@@ -124,47 +154,140 @@ class Chunk:
 COLUMNS = ["chunk_id", "ids", "missing", "sizes", "data", "n_bytes"]
 
 
-def n_buckets(chunks: DataFrame) -> int:
-    total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(1, min(total // BUCKET + 1, 1 << 20))
+@dataclass
+class Rule:
+    """What an exchange does with keys and the n_values integers that each carries.
+
+    merge(list of (keys, values...), each sorted by key) gives the list of merged arrays (keys, values...), sorted by
+    key, and for each row of all parts its place among them. It may be applied again to what it has merged.
+    settle(merged values, own values), aligned with a chunk's rows, gives the tuple of arrays that the chunk gets.
+    totals(merged arrays) gives a tuple of numbers, which are summed over all buckets.
+    """
+
+    merge: Callable
+    settle: Callable
+    totals: Callable
+    n_values: int = 1
+
+
+def summed(parts: list) -> tuple[list[np.ndarray], np.ndarray]:
+    """A merge: values are added up."""
+    keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    sums = [np.bincount(back, np.concatenate([p[k] for p in parts]).astype(np.float64), len(keys)).astype(np.uint64) for k in range(1, len(parts[0]))]
+    return [keys, *sums], back
+
 
+def bucket_of_keys(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """By the leading bits, so that it ascends with the keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
-def exchange(chunks: DataFrame, answers: list[DataFrame], send: Callable, combine: Callable, buckets: int, n_values: int = 1) -> DataFrame:
+
+def route(n_chunks: int, buckets: int, fan: int = FAN) -> tuple[int, int, int]:
+    """(ranges, buckets a range, groups of chunks); one range a bucket and no groups (0) if there are `fan` buckets at most.
+
+    Each chunk sends to every bucket: messages grow with the square of the text, and each has fewer keys. Beyond fan
+    buckets, chunks are put into groups, and a group's chunks send to its nodes, one for each range of buckets. A node
+    merges what it gets and sends that to the buckets of its range. With as many ranges as buckets a range, n chunks and
+    n buckets make about 2 n sqrt(n) messages instead of n^2.
+    """
+    if buckets <= fan:
+        return buckets, 1, 0
+    ranges = math.isqrt(buckets - 1) + 1
+    return ranges, -(-buckets // ranges), max(1, -(-n_chunks // ranges))
+
+
+def _arrow(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, fields, strict=True)], names=[f for f, _ in fields])
+
+
+def _cut(bucket: np.ndarray, keys: np.ndarray, values: list) -> Iterator[tuple]:
+    """(bucket, n, packed keys, packed values...) of each bucket; bucket ascends."""
+    begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    for i, j in zip(begin.tolist(), np.append(begin, len(bucket))[1:].tolist(), strict=True):
+        yield int(bucket[i]), j - i, pack_sorted(keys[i:j]), *[pack(v[i:j]) for v in values]
+
+
+def exchange(chunks: Chunked, answers: list[DataFrame], send: Callable, rule: Rule) -> DataFrame:
     """One round of messages; the answers as a written table (chunk_id, answer), bucketed by chunk_id.
 
-    send(chunk, *earlier answers) gives (sorted distinct keys, list of n_values arrays of integers aligned with them).
-    combine(list of (keys, values...)) of all chunks' parts of a bucket gives a list of tuples of arrays of
-    non-negative integers, aligned with each part's keys, and a tuple of numbers to be summed over all buckets.
-    The row with chunk_id null has these numbers for each bucket.
+    send(chunk, *earlier answers) gives (sorted keys, list of arrays of integers aligned with them). A chunk's answer
+    has a part for each bucket (or range of buckets) that it sent to, in order. Rows with a chunk_id below 0 have the
+    totals of buckets.
     """
-    names = [f"v{i}" for i in range(n_values)]
-    schema = "bucket int, chunk_id bigint, n bigint, keys binary, " + ", ".join(f"{v} binary" for v in names)
+    ranges, each, groups = route(chunks.n_chunks, chunks.buckets, chunks.fan)
+    buckets, parts = ranges * each, chunks.parts
+    names = [f"v{i}" for i in range(rule.n_values)]
+    message = [("bucket", pa.int64()), ("chunk_id", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), *[(v, pa.binary()) for v in names]]
+    schema = "bucket bigint, chunk_id bigint, n bigint, keys binary, " + ", ".join(f"{v} binary" for v in names)
+    answered = "chunk_id bigint, bucket bigint, answer binary"
 
     def sender(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk_id, chunk, given in opened(batches):
             keys, values = send(chunk, *given)
-            bucket = ((keys >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-            rows = []
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                part = slice(cuts[b], cuts[b + 1])
-                rows.append((b, chunk_id, cuts[b + 1] - cuts[b], pack_sorted(keys[part]), *[pack(v[part]) for v in values]))
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * (1 + n_values)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "chunk_id", "n", "keys", *names])
-
-    def bucket_task(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [(unpack_sorted(r["keys"], r["n"]), *[unpack(r[v], r["n"]) for v in names]) for r in rows.to_dict("records")]
-        found, sums = combine(parts)
-        out = [(c, int(b), b"".join(_framed(pack(a)) for a in arrays)) for c, b, arrays in zip(rows["chunk_id"], rows["bucket"], found, strict=True)]
-        out.append((None, int(rows["bucket"].iloc[0]), np.array(sums, "<i8").tobytes()))
-        return pd.DataFrame({"chunk_id": pd.array([o[0] for o in out], "Int64"), "bucket": [o[1] for o in out], "answer": [o[2] for o in out]})
-
-    sent = joined(chunks, answers).mapInArrow(sender, schema)
-    back = sent.groupBy("bucket").applyInPandas(bucket_task, "chunk_id bigint, bucket int, answer binary")
-    back = back.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("answer"))
-    return written(back.select("chunk_id", F.col("answer.answer").alias("answer")), "chunk_id", int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+            to = bucket_of_keys(keys, buckets) // np.uint64(each)
+            first = chunk_id % groups * ranges if groups else 0
+            yield _arrow([(first + b, chunk_id, *x) for b, *x in _cut(to, keys, values)], message)
+
+    def opened_parts(rows: pd.DataFrame) -> list[tuple]:
+        return [(unpack_sorted(r["keys"], r["n"]), *[unpack(r[v], r["n"]) for v in names]) for r in rows.to_dict("records")]
+
+    def settled(merged: list, back: np.ndarray, parts: list) -> list[tuple]:
+        """What each part gets."""
+        own = [np.concatenate([p[k] for p in parts]) for k in range(1, rule.n_values + 1)]
+        out = rule.settle([m[back] for m in merged], own)
+        cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
+        return list(zip(*[np.split(x.astype(np.uint64), cuts) for x in out], strict=True))
+
+    def in_bucket(rows: pd.DataFrame) -> pd.DataFrame:
+        own = opened_parts(rows)
+        merged, back = rule.merge(own)
+        if groups:  # nodes get merged values
+            cuts = np.cumsum([len(p[0]) for p in own])[:-1]
+            found = list(zip(*[np.split(m[back], cuts) for m in merged[1:]], strict=True))
+        else:
+            found = settled(merged[1:], back, own)
+        bucket = int(rows["bucket"].iloc[0])
+        out = [(c, bucket, b"".join(_framed(pack(a)) for a in arrays)) for c, arrays in zip(rows["chunk_id"], found, strict=True)]
+        out.append((-1 - bucket // 4096, bucket, np.array(rule.totals(merged), "<i8").tobytes()))
+        return pd.DataFrame(out, columns=["chunk_id", "bucket", "answer"])
+
+    def gathered(back: DataFrame) -> DataFrame:
+        back = back.repartition(parts, "chunk_id").groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("answer"))
+        return written(back.select("chunk_id", F.col("answer.answer").alias("answer")), "chunk_id", parts)
+
+    def in_node(rows: pd.DataFrame) -> pd.DataFrame:
+        merged, _ = rule.merge(opened_parts(rows))
+        kept = rows[["chunk_id", "n", "keys", *names]].to_dict("records")
+        row = {"node": rows["bucket"].iloc[0], "rows": kept, "n": len(merged[0]), "keys": pack_sorted(merged[0])}
+        return pd.DataFrame([row | {v: pack(m) for v, m in zip(names, merged[1:], strict=True)}])
+
+    def node_sender(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys = unpack_sorted(r["keys"], r["n"])
+                cut = _cut(bucket_of_keys(keys, buckets), keys, [unpack(r[v], r["n"]) for v in names])
+                yield _arrow([(b, r["node"], *x) for b, *x in cut], message)
+
+    def from_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = opened_parts(pd.DataFrame(r["rows"]))
+                back = rule.merge(own)[1]
+                for_chunks = settled(answer_for(unpack_sorted(r["keys"], r["n"]), r["answer"], buckets), back, own)
+                rows = [(x["chunk_id"], r["node"] % ranges, b"".join(_framed(pack(a)) for a in arrays)) for x, arrays in zip(r["rows"], for_chunks, strict=True)]
+                yield _arrow(rows, [("chunk_id", pa.int64()), ("bucket", pa.int64()), ("answer", pa.binary())])
+
+    sent = joined(chunks, answers).mapInArrow(sender, schema).repartition(parts, "bucket")
+    if not groups:
+        return gathered(sent.groupBy("bucket").applyInPandas(in_bucket, answered))
+    values = ", ".join(f"{v} binary" for v in names)
+    kept = f"rows array<struct<chunk_id: bigint, n: bigint, keys: binary, {values.replace(' binary', ': binary')}>>"
+    nodes = written(sent.groupBy("bucket").applyInPandas(in_node, f"node bigint, {kept}, n bigint, keys binary, {values}"), "node", parts)
+    back = gathered(nodes.drop("rows").mapInArrow(node_sender, schema).repartition(parts, "bucket").groupBy("bucket").applyInPandas(in_bucket, answered))
+    settled_rows = nodes.select("node", "rows", "n", "keys").join(back.withColumnRenamed("chunk_id", "node"), "node").mapInArrow(from_node, answered)
+    totals = back.where("chunk_id < 0").select("chunk_id", F.lit(0).cast("long").alias("bucket"), F.explode("answer").alias("answer"))
+    return gathered(settled_rows.union(totals))
 
 
 def _framed(data: bytes) -> bytes:
@@ -186,21 +309,27 @@ def arrays_of(answer: list[bytes], sizes: list[int]) -> list[np.ndarray]:
 
 
 def answer_for(keys: np.ndarray, answer: list[bytes] | None, buckets: int) -> list[np.ndarray]:
-    """The arrays of an answer, aligned with the keys that were sent."""
-    bucket = ((keys >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)
+    """The arrays of an answer, aligned with the keys that were sent to so many buckets (or ranges of buckets)."""
+    bucket = bucket_of_keys(keys, buckets)
     sizes = np.unique(bucket, return_counts=True)[1].tolist()
     return arrays_of(answer or [], sizes)
 
 
 def sums_of(answers: DataFrame, k: int) -> np.ndarray:
-    """The sums over all buckets of the k numbers of an exchange."""
-    row = answers.where("chunk_id IS NULL").first()
-    return sum((np.frombuffer(x, "<i8") for x in row["answer"]), np.zeros(k, np.int64)) if row else np.zeros(k, np.int64)
+    """The sums over all buckets of the k totals of an exchange."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8").reshape(-1, k).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()) for i in rows.tolist()], names=[f"t{i}" for i in range(k)])
+
+    rows = answers.where("chunk_id < 0").select(F.explode("answer").alias("t")).mapInArrow(run, ", ".join(f"t{i} bigint" for i in range(k)))
+    return np.array([x or 0 for x in rows.agg(*[F.sum(f"t{i}") for i in range(k)]).first()], np.int64)
 
 
-def joined(chunks: DataFrame, answers: list[DataFrame]) -> DataFrame:
+def joined(chunks: Chunked, answers: list[DataFrame]) -> DataFrame:
     """The chunks with their answers as columns a0, a1, ..."""
-    out = chunks.select(*COLUMNS)
+    out = chunks.table.select(*COLUMNS)
     for i, a in enumerate(answers):
         out = out.join(a.select("chunk_id", F.col("answer").alias(f"a{i}")), "chunk_id", "left")
     return out

@@ -20,36 +20,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where the cluster names none (as in tests) a temporary folder is set.
+    Where none is named, a temporary folder is set if everything runs on this machine (as in tests); a cluster must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="scimap-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def col(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def input_bytes(df: DataFrame) -> int | None:
+    """The bytes of the files that df reads, as the optimizer knows them; None if it doesn't."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return total if total < 1 << 60 else None
+
+
+def in_files(df: DataFrame, a_core: int = 2, most: int = 64 << 20) -> DataFrame:
+    """df in a_core partitions a core at most, so that it is not cut into very small files, but no fewer than one for
+    each `most` bytes that it reads."""
+    size = input_bytes(df)
+    return df if size is None else df.coalesce(max(a_core * df.sparkSession.sparkContext.defaultParallelism, -(-size // most)))
+
+
 def written(df: DataFrame, bucket_by: str | None = None, buckets: int = 0, small: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: later reads do not recompute it.
 
-    small: a row has a few numbers, so there are twice as many files as cores at most. With bucket_by, the table is bucketed by that column, so that joins and groups on it move only the other side.
+    small: a row has a few numbers; see in_files(). With bucket_by, the table is bucketed by that column, so that joins
+    and groups on it move only the other side. A bucketed table is written by way of the catalog, which forgets its
+    name at once; the files stay.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scimap-{uuid.uuid4().hex}"
-    if small:
-        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
-    out = df.write.option("compression", "zstd")
+    out = (in_files(df) if small else df).write.option("compression", "zstd")
     if bucket_by is None:
         out.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
     name = f"scimap_{uuid.uuid4().hex}"
     out.bucketBy(buckets, bucket_by).option("path", path).format("parquet").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    table.schema  # the plan holds files and buckets from here on
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def right_sized(df: DataFrame) -> DataFrame:
-    """df in four partitions a core at most: a stage's result is not cut into very small files."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+    """df in four partitions a core at most, or one for each 64 MB: a stage's result is not cut into very small files."""
+    return in_files(df, 4)
+
+
+#: Files of at most so many bytes are broadcast where texts are joined to them.
+BROADCAST = 8 << 20
+
+
+def meet(texts: DataFrame, small: DataFrame, on: Column, how: str = "inner") -> DataFrame:
+    """texts joined to a written table of small rows: broadcast if its files have BROADCAST bytes at most; else both
+    sides are dealt by key, and the small one is hashed, so that texts are never sorted."""
+    size = input_bytes(small)
+    return texts.join(F.broadcast(small) if size is not None and size <= BROADCAST else small.hint("shuffle_hash"), on, how)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

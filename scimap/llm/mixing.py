@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scimap.llm.common import count_words, fresh
+from scimap.llm.common import col, count_words, fresh, meet, written
 
 
 def apportion(parties: DataFrame, group: list[str], weight: str, seats: str, out: str) -> DataFrame:
@@ -53,27 +53,29 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mos
     return s.select("key", "source_size", "_all", F.least(F.col("_cap"), level * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: int = 3, block_words: int = 16, shard_words: int = 1 << 19, seed: int = 7) -> DataFrame:
-    """docs' ids and sizes with what the mix takes: id, size, source_size, target, taken, source key and text hash.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: int = 3, block_words: int = 16, shard_words: int = 1 << 19, most_shards: int = 1 << 16, seed: int = 7) -> DataFrame:
+    """docs' ids and sizes with what the mix takes: id, size, source_size, target, taken, source key, text hash and times.
 
-    Sizes are words. Each source's documents are dealt by hash to shards of about shard_words words; in a shard, in
-    seeded order, they are a stream cut into blocks of block_words words (the last may be shorter). Highest quotients
+    Sizes are words. Each source's documents are dealt by hash to shards of about shard_words words (of more, if these
+    were more than most_shards: the shards of a source are apportioned together); in a shard, in seeded order, they are
+    a stream cut into blocks of block_words words (the last may be shorter). Highest quotients
     give each source a number of blocks by its target, and of these each shard its quota by its size. A shard takes
     all its blocks as often as its quota's words hold its size, and as many blocks as are left of the quota once more,
     evenly spaced from a seeded start. taken counts a document's
-    words in taken blocks, at most `most` times its size. Only ids, sizes and hashes move; a hot source has more
-    shards, not larger ones.
+    words in taken blocks, at most `most` times its size. times is taken / size rounded up or down, so that whole
+    documents come near the quota too: in each shard, by size, the fractions are added up, and who passes a whole number
+    is rounded up. The words so gained or lost in a shard are no more than its longest document's. Documents of size 0
+    are in no block; their times are 1. Texts are read once: then only ids, sizes and hashes are written and move.
 
     Null texts have size 0, null sources are a source of their own, null ids and repeated rows are documents like any
     other. An empty table gives no rows. If all sizes are 0, all targets are 0.
     """
-    d = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash")
-    )
+    d = docs.select(col(id_col).alias("id"), col(source_col).alias("source"), count_words(col(text_col)).alias("size"), F.xxhash64(col(text_col)).alias("text_hash"))
+    d = written(d)
     sources = source_targets(d.groupBy(F.col("source").alias("key")).agg(F.sum("size").alias("source_size")), weights, most)
     sources = sources.withColumn("_one", F.lit(1)).withColumn("_seats", F.round(F.col("_all") / block_words).cast("long"))
     sources = apportion(sources, ["_one"], "target", "_seats", "blocks")
-    sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
+    sources = sources.withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(most_shards), F.ceil(F.col("source_size") / shard_words))).cast("long"))
     d = d.join(sources.drop("_one", "_seats", "_all"), F.col("source").eqNullSafe(F.col("key"))).drop("key")
     d = d.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id", "text_hash"), F.col("shards")))
     cell = Window.partitionBy("source", "shard")
@@ -96,24 +98,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return f"({count(b)} * {block_words} + ({count(f'({b} + 1)')} - {count(b)}) * ({x} % {block_words}))"
 
     taken = F.expr(f"passes * size + {upto('end')} - {upto('(end - size)')}")
-    return d.select("id", "source", "text_hash", "size", "source_size", F.col("target").cast("double"), taken.cast("long").alias("taken"))
+    d = d.withColumn("taken", taken.cast("long"))
+    # in 32768ths, so that sums are exact
+    part = F.when(F.col("size") > 0, F.expr("((taken % size) * 32768L) div size")).otherwise(0)
+    by_size = cell.orderBy("size", "order", "id", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.pmod(F.xxhash64(F.lit(seed + 3), "source", "shard"), F.lit(32768))
+    d = d.withColumn("part", part).withColumn("sum", F.sum("part").over(by_size) + start)
+    up = F.expr("sum div 32768L - (sum - part) div 32768L")
+    d = d.withColumn("times", F.when(F.col("size") == 0, F.lit(1)).otherwise(F.expr("taken div size") + up).cast("int"))
+    return d.select("id", "source", "text_hash", "size", "source_size", F.col("target").cast("double"), "taken", "times")
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """docs with each row as often as the mix takes it whole: taken / size times, the fraction by a seeded draw.
+    """docs with each row as often as the mix takes it whole: `times` of mix().
 
     So a source's words come near its target, and no row is there more than `most` times. Rows of size 0 are not part
-    of any block; they stay once. Columns are those of docs.
+    of any block; they stay once. Repeated rows get the same number, that of the one with most. Columns are those of docs.
     """
-    seed = options.get("seed", 7)
-    th, times = fresh(docs, "text_hash", "times")
+    th, times, own, own_source, own_th = fresh(docs, "text_hash", "times", "own_id", "own_source", "own_hash")
     m = mix(docs, id_col, text_col, source_col, **options)
-    draw = F.pmod(F.xxhash64(F.lit(seed + 3), "id", "text_hash"), F.lit(1 << 30)) / float(1 << 30)
-    n = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + draw)).cast("int")
-    m = m.select("id", "source", "text_hash", n.alias("times")).groupBy("id", "source", "text_hash").agg(F.max("times").alias("times"))
-    d = docs.withColumn(th, F.xxhash64(text_col))
-    m = m.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_th"), F.col("times").alias(times))
-    # texts are not sorted: the small side is hashed
-    d = d.join(m.hint("shuffle_hash"), d[id_col].eqNullSafe(m["_id"]) & d[source_col].eqNullSafe(m["_source"]) & (d[th] == m["_th"]))
+    m = m.groupBy(F.col("id").alias(own), F.col("source").alias(own_source), F.col("text_hash").alias(own_th)).agg(F.max("times").alias(times))
+    m = written(m, small=True)
+    on = col(id_col).eqNullSafe(F.col(own)) & col(source_col).eqNullSafe(F.col(own_source)) & (F.col(th) == F.col(own_th))
+    d = meet(docs.withColumn(th, F.xxhash64(col(text_col))), m, on)
     d = d.where(F.col(times) > 0).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return d.select(*[col(c) for c in docs.columns])

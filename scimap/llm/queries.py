@@ -92,13 +92,14 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op3_chat_perspectives": """
+    "op3_chat_perspectives": r"""
         WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+        -- marks in names and texts are escaped
         people AS (SELECT DISTINCT conv_id AS c, role AS perspective FROM m WHERE role <> 'system'),
         r AS (
             SELECT conv_id, perspective, turn, role, text, CAST(floor(turn / 64.0) AS BIGINT) AS segment,
-                CASE WHEN role = 'system' THEN '<|system|>' WHEN role = perspective THEN '<|assistant|>' ELSE '<|user:' || role || '|>' END || chr(10) AS head,
-                text || '<|end|>' AS body
+                CASE WHEN role = 'system' THEN '<|system|>' WHEN role = perspective THEN '<|assistant|>' ELSE '<|user:' || regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g') || '|>' END || chr(10) AS head,
+                regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '<|end|>' AS body
             FROM m JOIN people ON conv_id IS NOT DISTINCT FROM c),
         s AS (
             SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, segment ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) - length(body) - 1 AS start

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scimap.llm.arrow import with_text_columns
-from scimap.llm.common import written
+from scimap.llm.common import col, fresh, meet, written
 
 #: Fingerprints of a cell that one task compares with each other.
 BLOCK = 2048
@@ -210,7 +210,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     other. Null ids are documents too: they link, but only name a component (null) that has no other. Repeated rows
     have equal fingerprints and so one component. An empty table gives no rows.
     """
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    d = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), F.xxhash64(col(text_col)).alias("text_hash"))
     d = written(fingerprints(d, "text", words))
     who = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("first")
     distinct = written(d.groupBy("fp").agg(who), small=True)
@@ -224,11 +224,10 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """One document of each component: that with the smallest id (of repeated ids, the smallest text hash). Columns as docs."""
+    th, own, own_th = fresh(docs, "text_hash", "own_id", "own_hash")
     a = written(assign(docs, id_col, text_col, words).select("id", "text_hash", "root", "first"), small=True)
-    first = a.select("root", "first").distinct().select(F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_th"))
-    d = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    # texts are not sorted: the small side is hashed
-    kept = d.join(first.hint("shuffle_hash"), d[id_col].eqNullSafe(first["_id"]) & (d["_text_hash"] == first["_th"]), "left_semi")
+    first = written(a.select("root", "first").distinct().select(F.col("first.id").alias(own), F.col("first.text_hash").alias(own_th)), small=True)
+    kept = meet(docs.withColumn(th, F.xxhash64(col(text_col))), first, col(id_col).eqNullSafe(F.col(own)) & (F.col(th) == F.col(own_th)), "left_semi")
     if not a.groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, "_text_hash"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        kept = kept.withColumn(own, col(id_col)).dropDuplicates([own, th])
+    return kept.select(*[col(c) for c in docs.columns])

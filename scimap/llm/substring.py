@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from scimap.llm.chunks import Chunk, answer_for, chunked, exchange, joined, n_buckets, opened, window_hashes
+from scimap.llm.chunks import MIX, Chunk, Rule, answer_for, chunked, exchange, joined, mixed, opened, summed, window_hashes
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 SPAN = WINDOW - PERIOD + 1
@@ -66,8 +66,6 @@ class Words:
 
 
 def _step(h: np.ndarray, x: np.ndarray) -> np.ndarray:
-    from scimap.llm.chunks import MIX, mixed
-
     return mixed(h * MIX + x)
 
 
@@ -86,20 +84,23 @@ def _send_anchors(chunk: Chunk) -> tuple[np.ndarray, list[np.ndarray]]:
     return hashes[begin], [(np.add.reduceat(more.astype(np.int64), begin) > 0).astype(np.uint64) + np.uint64(1)]
 
 
-def _combine_anchors(parts: list) -> tuple[list, tuple[int, int]]:
-    keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    total = np.bincount(back, np.concatenate([p[1] for p in parts]).astype(np.float64), len(keys))
-    cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
-    return [(x,) for x in np.split((total[back] > 1).astype(np.uint64), cuts)], (len(keys), 0)
+def _merge_anchors(parts: list) -> tuple[list[np.ndarray], np.ndarray]:
+    """An anchor of several parts, or in several documents of one, has 2."""
+    (keys, total), back = summed(parts)
+    return [keys, np.minimum(total, np.uint64(2))], back
+
+
+#: Chunks get 1 for the anchors that are in several documents.
+ANCHORS = Rule(_merge_anchors, lambda merged, own: [merged[0] > 1], lambda merged: (len(merged[0]),))
 
 
-def _shared(w: Words, answer: list, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def _shared(w: Words, answer: list, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """Where anchors begin, and which of them stand in several documents."""
     at, hashes = w.anchors()
     if not len(at):
         return at, np.zeros(0, bool)
     keys, back = np.unique(hashes, return_inverse=True)
-    return at, answer_for(keys, answer, buckets)[0][back].astype(bool)
+    return at, answer_for(keys, answer, ranges)[0][back].astype(bool)
 
 
 def _distinct(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,47 +117,49 @@ def _distinct(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray
 OFFSET = np.uint64(1 << 63)
 
 
-def _combine_windows(parts: list) -> tuple[list, tuple[int, int]]:
-    """Whether a smaller document than the sender's smallest has the window."""
-    a, b, doc = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    _, _, least, back = _distinct(a, b, doc)
-    cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
-    return [(x,) for x in np.split((least[back] < doc).astype(np.uint64), cuts)], (len(least), 0)
+def _merge_windows(parts: list) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct windows (two hashes) with the smallest document that has each."""
+    *merged, back = _distinct(*[np.concatenate([p[k] for p in parts]) for k in range(3)])
+    return merged, back
+
+
+#: Chunks get 1 for the windows that a smaller document has than their smallest.
+WINDOWS = Rule(_merge_windows, lambda merged, own: [merged[1] < own[1]], lambda merged: (len(merged[0]),), 2)
 
 
-def _candidates(chunk: Chunk, w: Words, answer: list, buckets: int):
-    at, shared = _shared(w, answer, buckets)
+def _candidates(chunk: Chunk, w: Words, answer: list, ranges: int):
+    at, shared = _shared(w, answer, ranges)
     begin, a, b = w.windows(shared, at)
     doc = chunk.ids[w.doc[begin]].view(np.uint64) ^ OFFSET
     return begin, doc, _distinct(a, b, doc)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
     """(id, n_words, n_removed, spans, kept_text) for each row of docs.
 
     A word goes if a window of WINDOW words of its document covers it whose words also begin in a document with a
     smaller id, judged on the input. spans: the removed runs of words as a flat list begin, end (excluded), ...;
     kept_text: the words that stay, joined by one space. Ids are integers; a null id is larger than all others. Rows
     with one id are one document: they never make each other's words go. Null, empty and short texts lose nothing. An
-    empty table gives no rows.
+    empty table gives no rows. sizes: as for chunked().
     """
-    chunks = chunked(docs, id_col, text_col)
-    buckets = n_buckets(chunks)
-    first = exchange(chunks, [], _send_anchors, _combine_anchors, buckets)
+    chunks = chunked(docs, id_col, text_col, **sizes)
+    ranges = chunks.ranges
+    first = exchange(chunks, [], _send_anchors, ANCHORS)
 
     def send_windows(chunk: Chunk, answer: list):
-        _, _, (a, b, least, _) = _candidates(chunk, Words(chunk), answer, buckets)
+        _, _, (a, b, least, _) = _candidates(chunk, Words(chunk), answer, ranges)
         return a, [b, least]
 
-    second = exchange(chunks, [first], send_windows, _combine_windows, buckets, 2)
+    second = exchange(chunks, [first], send_windows, WINDOWS)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, chunk, (one, two) in opened(batches):
             w = Words(chunk)
-            begin, doc, (a, _, least, back) = _candidates(chunk, w, one, buckets)
+            begin, doc, (a, _, least, back) = _candidates(chunk, w, one, ranges)
             gone = np.zeros(len(w.hashes), bool)
             if len(begin):
-                earlier = answer_for(a, two, buckets)[0].astype(bool)
+                earlier = answer_for(a, two, ranges)[0].astype(bool)
                 hit = begin[earlier[back] | (doc > least[back])]
                 edge = np.zeros(len(w.hashes) + 1, np.int64)
                 np.add.at(edge, hit, 1)

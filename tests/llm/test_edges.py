@@ -22,7 +22,10 @@ ROWS = [
 ]
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Names that operators use for columns of their own.
-CLASHES = ["ids", "n_tokens", "decoded", "x", "score", "kept_text", "n_lines", "n_dropped", "words", "lines", "text_hash", "times", "fp", "size", "id"]
+CLASHES = [
+    *("ids", "n_tokens", "decoded", "x", "score", "kept_text", "n_lines", "n_dropped", "words", "lines", "text_hash", "times", "fp", "size", "id"),
+    *("_id", "_th", "_source", "_text_hash", "own_id", "own_hash", "own_source", "a.b", "bits", "TEXT_HASH_", "label", "shard"),
+]
 
 
 @pytest.fixture(scope="module")
