@@ -65,6 +65,7 @@ def test_passes_and_given_texts(spark, docs, monkeypatch):
     whole = rounded(search.search(docs, queries, k=5))
     assert whole
     monkeypatch.setattr(search, "PASS", 1 << 12)
+    monkeypatch.setattr(search, "FILES", 2)
     assert rounded(search.search(docs, queries, k=5, chunk_bytes=64 << 10)) == whole
 
 

@@ -205,7 +205,6 @@ def test_block_max_wand_prunes_exactly():
     own = np.array(list(map(len, lists)))
     shard.ids, shard.starts, shard.doc = np.arange(3000), np.cumsum([0, *own]), np.concatenate(lists)
     shard.value = rng.choice([0.5, 1.0, 1.5], len(shard.doc)) + (shard.doc < 300)
-    shard.cut(5, own)
     queries = [([0, 1, 2, 3, 4], [0.2, 0.7, 2.0, 5.0, 1.0]), ([3], [1.0]), ([0, 4], [1.0, 1.0]), ([1], [2.0])]
     of = np.repeat(np.arange(4), [len(t) for t, _ in queries])
     terms, weights = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
