@@ -71,15 +71,24 @@ def stability(membership: DataFrame, baseline: str) -> DataFrame:
 def kendall(xy: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., n, tau) of rows (by..., x, y): Kendall's tau-b; 0 for fewer than two rows or a constant side.
 
-    Rows with equal (x, y) are one cell with a count, so the pairs are those of distinct cells, not of rows.
+    Rows with equal (x, y) are one cell with a count. No pairs are formed: two x differ first at one binary digit of
+    their ranks. For each digit, cells that agree before it are sorted by y, and a running count of those with 0 tells
+    those with 1 how many are below and above them in y.
     """
     by = by or []
     cells = xy.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("n"))
-    a = cells.select(*by, "x", "y", "n")
-    b = cells.select(*by, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"))
-    p = (a.join(b, by) if by else a.crossJoin(b)).where("x < x2 OR (x = x2 AND y < y2)")
-    w, sign = F.col("n") * F.col("n2"), F.signum((F.col("x2") - F.col("x")).cast("double")) * F.signum((F.col("y2") - F.col("y")).cast("double"))
-    diff = p.groupBy(*by).agg(F.sum(w * sign).alias("diff"))
+    group = [*by, "_digit", "_before"]
+    rank = F.dense_rank().over(Window.partitionBy(*(by or [F.lit(1)])).orderBy("x")) - 1
+    ranks = cells.select(*by, "x").distinct().withColumn("_rank", rank.cast("long"))
+    digits = ranks.groupBy(*by).agg(F.length(F.bin(F.max("_rank"))).alias("_digits"))
+    c = cells.join(ranks, [*by, "x"])
+    c = c.join(digits, by) if by else c.crossJoin(digits)
+    c = c.withColumn("_digit", F.explode(F.expr("sequence(0, _digits - 1)")))
+    c = c.withColumn("_before", F.expr("shiftright(_rank, _digit + 1)")).withColumn("_one", F.expr("shiftright(_rank, _digit) & 1L") == 1)
+    ys = c.groupBy(*group, "y").agg(*[F.sum(F.when(F.col("_one") == one, F.col("n")).otherwise(0)).alias(f"_n{int(one)}") for one in (False, True)])
+    w = Window.partitionBy(*group).orderBy("y").rowsBetween(Window.unboundedPreceding, -1)
+    ys = ys.withColumn("_below", F.coalesce(F.sum("_n0").over(w), F.lit(0))).withColumn("_all", F.sum("_n0").over(Window.partitionBy(*group)))
+    diff = ys.groupBy(*by).agg(F.sum(F.col("_n1") * (2 * F.col("_below") + F.col("_n0") - F.col("_all"))).cast("double").alias("diff"))
     total = cells.groupBy(*by).agg(F.sum("n").alias("n"))
     ties = []
     for side in ("x", "y"):
@@ -96,11 +105,10 @@ def era_correlation(counts: DataFrame) -> DataFrame:
     c = counts.select("era", "ref", "n")
     eras = c.select("era").distinct()
     two = eras.select(F.col("era").alias("era_a")).crossJoin(eras.select(F.col("era").alias("era_b"))).where("era_a < era_b")
-    refs = two.join(c.select("era", "ref"), (F.col("era") == F.col("era_a")) | (F.col("era") == F.col("era_b"))).select("era_a", "era_b", "ref").distinct()
-    x = c.select(F.col("era").alias("era_a"), "ref", F.col("n").alias("x"))
-    y = c.select(F.col("era").alias("era_b"), "ref", F.col("n").alias("y"))
-    xy = refs.join(x, ["era_a", "ref"], "left").join(y, ["era_b", "ref"], "left")
-    return kendall(xy.select("era_a", "era_b", F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(0)).alias("y")), ["era_a", "era_b"])
+    two = two.select("era_a", "era_b", F.explode(F.array("era_a", "era_b")).alias("era"))
+    part = lambda side: F.sum(F.when(F.col("era") == F.col(side), F.col("n")).otherwise(0))
+    xy = c.join(two, "era").groupBy("era_a", "era_b", "ref").agg(part("era_a").alias("x"), part("era_b").alias("y"))
+    return kendall(xy.drop("ref"), ["era_a", "era_b"])
 
 
 def mean_ranks(rows: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:

@@ -28,13 +28,27 @@ def pairs(items: DataFrame, min_docs: int = 1) -> DataFrame:
 
 
 def coupling(references: DataFrame, min_shared: int = 1) -> DataFrame:
-    """(src, dst, weight): documents src < dst and the references they share, at least min_shared. references: doc_id, ref."""
+    """(src, dst, weight): documents src < dst and the references they share, at least min_shared. references: doc_id, ref.
+
+    Documents that share k references share one at least outside of each one's k - 1 most frequent. So for k of 2 or
+    more, those don't make candidates, and the references of many documents form no pairs; candidates are counted
+    by their documents' references, of which each row has its own.
+    """
     r = references.where("ref IS NOT NULL").select("doc_id", "ref").distinct()
     # a reference of one document couples nothing
     several = r.groupBy("ref").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    r = r.join(several.select("ref"), "ref", "left_semi")
-    a, b = r.select("ref", F.col("doc_id").alias("src")), r.select("ref", F.col("doc_id").alias("dst"))
-    return a.join(b, "ref").where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_shared)
+    if min_shared < 2:
+        r = r.join(several.select("ref"), "ref", "left_semi")
+        a, b = r.select("ref", F.col("doc_id").alias("src")), r.select("ref", F.col("doc_id").alias("dst"))
+        return a.join(b, "ref").where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+    own = r.join(several, "ref").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("_n", "ref"))).alias("refs"))
+    own = own.where(F.size("refs") >= min_shared).select("doc_id", F.col("refs.ref").alias("refs"))
+    few = own.select("doc_id", "refs", F.explode(F.slice("refs", F.lit(1), F.size("refs") - (min_shared - 1))).alias("ref"))
+    a, b = (few.select("ref", F.col("doc_id").alias(x), F.col("refs").alias(f"_{x}")) for x in ("src", "dst"))
+    pairs = a.join(b, "ref").where("src < dst").select("src", "dst", "ref", F.array_intersect("_src", "_dst").alias("both"))
+    # a pair is met in each of the references that both have outside; one of them counts
+    pairs = pairs.where(F.size("both") >= min_shared).select("src", "dst", F.size("both").cast("long").alias("weight"))
+    return pairs.distinct()
 
 
 def collaboration(countries: DataFrame) -> DataFrame:

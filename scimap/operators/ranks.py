@@ -27,4 +27,4 @@ def running(df: DataFrame, order: list[Column], value: str) -> DataFrame:
     own = Window.partitionBy("_part").orderBy(*order)
     d = d.withColumn("i", F.row_number().over(own)).withColumn("running", F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, 0)))
     d = d.join(F.broadcast(parts), "_part")  # a row for each shuffle partition
-    return d.select(*df.columns, (F.col("i") + F.col("_rows_before")).cast("int").alias("i"), (F.col("running") + F.col("_sum_before")).alias("running"), "total")
+    return d.select(*df.columns, (F.col("i") + F.col("_rows_before")).alias("i"), (F.col("running") + F.col("_sum_before")).alias("running"), "total")

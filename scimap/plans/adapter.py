@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scimap.operators.cooccurrence import collaboration, coupling
+from scimap.operators.graphs import endpoints
+from scimap.sources.stores import checkpointed
 from scimap.sources.tables import table
 
 
@@ -61,14 +64,14 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def country_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of countries, of the edges at or above the third quartile of weights (all pairs are linked)."""
-    from scimap.operators.cooccurrence import collaboration
-    from scimap.operators.graphs import endpoints
-    from scimap.sources.stores import checkpointed
-
+    """Nodes and edges of the countries that are in a document together."""
     e = checkpointed(collaboration(countries(spark, sf)))
-    q = e.agg(F.percentile("weight", F.lit(0.75)).alias("q"))
-    e = checkpointed(e.crossJoin(q).where("weight >= q").drop("q"))
+    return endpoints(e), e
+
+
+def coupling_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the documents that share two references or more."""
+    e = checkpointed(coupling(references(spark, sf), 2))
     return endpoints(e), e
 
 
@@ -85,13 +88,14 @@ CTE = {
     "keywords": "keywords AS (SELECT DISTINCT l_orderkey AS doc_id, p_name AS item FROM lineitem JOIN part ON l_partkey = p_partkey)",
     "refs": "refs AS (SELECT DISTINCT l_orderkey AS doc_id, l_partkey AS ref FROM lineitem)",
     "messages": "messages AS (SELECT conv_id AS date, turn AS seq, role AS speaker, turn * 37 AS secs, text AS content, role = 'assistant' AS is_advisor FROM conversations)",
-    "all_pairs": "all_pairs AS (SELECT a.item AS src, b.item AS dst, count(*) AS weight FROM countries a JOIN countries b ON a.doc_id = b.doc_id AND a.item < b.item GROUP BY 1, 2)",
-    "edges": "edges AS (SELECT src, dst, weight FROM all_pairs WHERE weight >= (SELECT quantile_cont(weight, 0.75) FROM all_pairs))",
+    "edges": "edges AS (SELECT a.item AS src, b.item AS dst, count(*) AS weight FROM countries a JOIN countries b ON a.doc_id = b.doc_id AND a.item < b.item GROUP BY 1, 2)",
+    "coupled": "edges AS (SELECT a.doc_id AS src, b.doc_id AS dst, count(*) AS weight FROM refs a JOIN refs b ON a.ref = b.ref AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) >= 2)",
     "nodes": "nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges)",
     "two": "two AS (SELECT src AS u, dst AS v, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges)",
     "regions": "regions AS (SELECT n_name AS node, n_regionkey AS cluster FROM nation)",
 }
-GRAPH = ("countries", "all_pairs", "edges", "nodes", "two", "regions")
+GRAPH = ("countries", "edges", "nodes", "two", "regions")
+COUPLED = ("refs", "coupled", "nodes", "two")
 
 
 def with_(*names: str, recursive: bool = False) -> str:

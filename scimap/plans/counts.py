@@ -16,10 +16,9 @@ from scimap.sources.tables import table
 @query(f"""{with_("keywords")} SELECT a.item AS src, b.item AS dst, count(*) AS weight
     FROM keywords a JOIN keywords b ON a.doc_id = b.doc_id AND a.item < b.item
     WHERE a.item IN (SELECT item FROM keywords GROUP BY 1 HAVING count(*) >= 3) AND b.item IN (SELECT item FROM keywords GROUP BY 1 HAVING count(*) >= 3)
-    GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 100""")
+    GROUP BY 1, 2""")
 def join_keyword_cooccurrence(spark, sf):
-    p = co.pairs(ad.keywords(spark, sf), 3)
-    return fr.top(p, 100, F.col("weight").desc(), F.col("src"), F.col("dst"))
+    return co.pairs(ad.keywords(spark, sf), 3)
 
 
 @query(f"""{with_("docs", "authors", "countries")} SELECT count(*) AS n_documents, min(year) AS first_year, max(year) AS last_year, CAST(sum(cited_by) AS BIGINT) AS citations, avg(cited_by) AS mean_citations,
@@ -127,7 +126,7 @@ def _zones(spark, sf):
 
 @query(f"{BRADFORD} SELECT item, n, CAST(i AS INTEGER) AS i, CAST(running AS BIGINT) AS running, CAST(total AS BIGINT) AS total, CAST(zone AS INTEGER) AS zone FROM z")
 def win_bradford_zones(spark, sf):
-    return _zones(spark, sf)
+    return _zones(spark, sf).withColumn("i", F.col("i").cast("int"))
 
 
 @query(f"{BRADFORD}, g AS (SELECT zone, count(*) AS n FROM z GROUP BY 1), q AS (SELECT lead(n) OVER (ORDER BY zone) / n AS ratio FROM g) SELECT round(exp(avg(ln(ratio))), 6) AS k FROM q WHERE ratio IS NOT NULL")
@@ -147,7 +146,7 @@ def join_coupling(spark, sf):
     return co.coupling(ad.references(spark, sf), 2)
 
 
-@query(f"{with_('countries', 'all_pairs')} SELECT * FROM all_pairs")
+@query(f"{with_('countries', 'edges')} SELECT * FROM edges")
 def join_collaboration(spark, sf):
     return co.collaboration(ad.countries(spark, sf))
 
@@ -175,7 +174,7 @@ def join_cluster_overlay(spark, sf):
     return co.cluster_overlay(a, ad.countries(spark, sf).withColumn("pos", F.lit(0)))
 
 
-@query(f"""{with_("countries", "all_pairs")} SELECT CASE WHEN src = 'NATION_7' THEN dst ELSE src END AS neighbour, weight FROM all_pairs WHERE src = 'NATION_7' OR dst = 'NATION_7' ORDER BY 2 DESC, 1 LIMIT 8""")
+@query(f"""{with_("countries", "edges")} SELECT CASE WHEN src = 'NATION_7' THEN dst ELSE src END AS neighbour, weight FROM edges WHERE src = 'NATION_7' OR dst = 'NATION_7' ORDER BY 2 DESC, 1 LIMIT 8""")
 def top_neighbours(spark, sf):
     return co.neighbours(co.collaboration(ad.countries(spark, sf)), "NATION_7")
 

@@ -7,54 +7,56 @@ from pyspark.sql import functions as F
 from scimap.operators import communities as cm
 from scimap.operators import cooccurrence as co
 from scimap.operators import graphs as gr
+from scimap.operators.ranks import running
 from scimap.plans import adapter as ad
-from scimap.plans.adapter import GRAPH, with_
+from scimap.plans.adapter import COUPLED, GRAPH, with_
 from scimap.plans.base import query
 from scimap.sources.tables import table
 
 G = with_(*GRAPH)
 R = with_(*GRAPH, recursive=True)
+D = with_(*COUPLED)
 DEGREE = "deg AS (SELECT node, count(u) AS degree, CAST(coalesce(sum(weight), 0) AS BIGINT) AS strength FROM nodes LEFT JOIN two ON u = node GROUP BY 1)"
 TRIANGLES = """tri AS (SELECT a.src AS a, a.dst AS b, b.dst AS c, a.weight AS wab, b.weight AS wbc, c.weight AS wac FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON c.src = a.src AND c.dst = b.dst),
     corner AS (SELECT a AS node, wab, wbc, wac FROM tri UNION ALL SELECT b, wab, wbc, wac FROM tri UNION ALL SELECT c, wab, wbc, wac FROM tri)"""
 
 
-@query(f"{G} SELECT n, m, round(2 * m / (n * (n - 1)), 6) AS density, round(2 * m / n, 6) AS mean_degree FROM (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS m)")
+@query(f"{D} SELECT n, m, round(2 * m / (n * (n - 1)), 6) AS density, round(2 * m / n, 6) AS mean_degree FROM (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS m)")
 def graph_density(spark, sf):
-    d = gr.density(*ad.country_graph(spark, sf))
+    d = gr.density(*ad.coupling_graph(spark, sf))
     return d.select("n", "m", F.round("density", 6).alias("density"), F.round("mean_degree", 6).alias("mean_degree"))
 
 
-@query(f"{G}, {DEGREE} SELECT node, degree, strength, round(degree / ((SELECT count(*) FROM nodes) - 1), 6) AS centrality FROM deg")
+@query(f"{D}, {DEGREE} SELECT node, degree, strength, round(degree / ((SELECT count(*) FROM nodes) - 1), 6) AS centrality FROM deg")
 def graph_degree_centrality(spark, sf):
-    return gr.degrees(*ad.country_graph(spark, sf)).withColumn("centrality", F.round("centrality", 6))
+    return gr.degrees(*ad.coupling_graph(spark, sf)).withColumn("centrality", F.round("centrality", 6))
 
 
-@query(f"{G}, {DEGREE} SELECT node, CAST(rank() OVER (ORDER BY degree DESC) AS INTEGER) AS place FROM deg")
+@query(f"{D}, {DEGREE} SELECT node, CAST(rank() OVER (ORDER BY degree DESC) AS INTEGER) AS place FROM deg")
 def win_centrality_rank(spark, sf):
-    from pyspark.sql import Window
+    d = gr.degrees(*ad.coupling_graph(spark, sf)).select("node", "centrality")
+    # equal values are one row in the ranges, so a rank is one more than the nodes that stand before them
+    n = running(d.groupBy("centrality").agg(F.count(F.lit(1)).alias("n")), [F.col("centrality").desc()], "n")
+    place = n.select("centrality", (F.col("running") - F.col("n") + 1).cast("int").alias("place"))
+    return d.join(place, "centrality").select("node", "place")
 
-    w = Window.partitionBy(F.lit(1)).orderBy(F.col("centrality").desc())
-    return gr.degrees(*ad.country_graph(spark, sf)).select("node", F.rank().over(w).alias("place"))
 
-
-@query(f"""{G}, {DEGREE}, {TRIANGLES}, t AS (SELECT node, count(*) AS t FROM corner GROUP BY 1)
+@query(f"""{D}, {DEGREE}, {TRIANGLES}, t AS (SELECT node, count(*) AS t FROM corner GROUP BY 1)
     SELECT node, round(CASE WHEN degree >= 2 THEN 2 * coalesce(t, 0) / (degree * (degree - 1)) ELSE 0 END, 6) AS clustering FROM deg LEFT JOIN t USING (node)""")
 def graph_clustering(spark, sf):
-    return gr.clustering(*ad.country_graph(spark, sf)).withColumn("clustering", F.round("clustering", 6))
+    return gr.clustering(*ad.coupling_graph(spark, sf)).withColumn("clustering", F.round("clustering", 6))
 
 
-@query(f"""{G}, {DEGREE}, {TRIANGLES}, x AS (SELECT max(weight) AS w FROM edges), t AS (SELECT node, sum(cbrt(wab / w * wac / w * wbc / w)) AS t FROM corner, x GROUP BY 1)
+@query(f"""{D}, {DEGREE}, {TRIANGLES}, x AS (SELECT max(weight) AS w FROM edges), t AS (SELECT node, sum(cbrt(wab / w * wac / w * wbc / w)) AS t FROM corner, x GROUP BY 1)
     SELECT round(avg(CASE WHEN degree >= 2 THEN 2 * coalesce(t, 0) / (degree * (degree - 1)) ELSE 0 END), 6) AS clustering FROM deg LEFT JOIN t USING (node)""")
 def graph_clustering_weighted(spark, sf):
-    return gr.mean_clustering(*ad.country_graph(spark, sf), weighted=True).select(F.round("clustering", 6).alias("clustering"))
+    return gr.mean_clustering(*ad.coupling_graph(spark, sf), weighted=True).select(F.round("clustering", 6).alias("clustering"))
 
 
-@query(f"""{R}, reach AS (SELECT node AS s, node AS t FROM regions UNION SELECT s, v FROM reach JOIN two ON t = u)
+@query(f"""{with_(*COUPLED, recursive=True)}, reach AS (SELECT node AS s, node AS t FROM nodes UNION SELECT s, v FROM reach JOIN two ON t = u)
     SELECT s AS node, min(t) AS component FROM reach GROUP BY 1""")
 def graph_components(spark, sf):
-    nodes, edges = ad.regions(spark, sf), ad.country_graph(spark, sf)[1]
-    return gr.components(nodes.select("node"), edges)
+    return gr.components(*ad.coupling_graph(spark, sf))
 
 
 @query(f"""{G}, e AS (SELECT weight, a.cluster AS ca, b.cluster AS cb FROM edges JOIN regions a ON a.node = src JOIN regions b ON b.node = dst), m AS (SELECT sum(weight) AS m FROM e),
@@ -88,9 +90,9 @@ def _rank_rounds(k: int) -> str:
     return ", ".join(parts)
 
 
-@query(f"{G}, {_rank_rounds(10)} SELECT node, round(rank, 6) AS rank FROM r10")
+@query(f"{D}, {_rank_rounds(10)} SELECT node, round(rank, 6) AS rank FROM r10")
 def graph_pagerank_fixed_iters(spark, sf):
-    return gr.pagerank(*ad.country_graph(spark, sf), rounds=10).withColumn("rank", F.round("rank", 6))
+    return gr.pagerank(*ad.coupling_graph(spark, sf), rounds=10).withColumn("rank", F.round("rank", 6))
 
 
 CALLON = f"""{G}, e AS (SELECT weight, a.cluster AS ca, b.cluster AS cb FROM edges JOIN regions a ON a.node = src JOIN regions b ON b.node = dst),
@@ -121,8 +123,18 @@ def _named(spark, sf):
     return ad.country_graph(spark, sf)[1].withColumn("graph", F.lit("countries"))
 
 
-@query()
+def _power_rounds(k: int) -> str:
+    """The chain of CTEs of k rounds of the power iteration on the weights plus the identity."""
+    parts = ["x0 AS (SELECT node, 1.0::DOUBLE / count(*) OVER () AS x FROM nodes)"]
+    for i in range(k):
+        parts.append(f"y{i} AS (SELECT a.node, any_value(a.x) + coalesce(sum(b.x * weight), 0) AS y FROM x{i} a LEFT JOIN two ON v = a.node LEFT JOIN x{i} b ON b.node = u GROUP BY 1)")
+        parts.append(f"x{i + 1} AS (SELECT node, y / sqrt(sum(y * y) OVER ()) AS x FROM y{i})")
+    return ", ".join(parts)
+
+
+@query(f"{G}, {_power_rounds(12)} SELECT node, round(x, 5) AS centrality FROM x12")
 def graph_eigenvector(spark, sf):
+    """It settles within 12 rounds: countries are linked by weights much above 1, and nearly alike."""
     return gr.eigenvector(*ad.country_graph(spark, sf)).withColumn("centrality", F.round("centrality", 5))
 
 

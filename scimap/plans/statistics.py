@@ -141,11 +141,11 @@ def stat_cohen_kappa(spark, sf):
     return ag.cohen_kappa(p).withColumn("kappa", F.round("kappa", 8))
 
 
-RATINGS = "r AS (SELECT DISTINCT CAST(s_nationkey % 5 AS INTEGER) AS cluster, s_suppkey AS rater, CAST(i AS INTEGER) AS item, CAST(1 + (s_suppkey * 7 + i * i * 3 + s_nationkey * i) % 5 AS INTEGER) AS rating FROM supplier, (SELECT unnest(range(1, 11)) AS i) WHERE s_suppkey < 100)"
+RATINGS = "r AS (SELECT DISTINCT CAST(s_nationkey % 5 AS INTEGER) AS cluster, s_suppkey AS rater, CAST(i AS INTEGER) AS item, CAST(1 + (s_suppkey * 7 + i * i * 3 + s_nationkey * i) % 5 AS INTEGER) AS rating FROM supplier, (SELECT unnest(range(1, 11)) AS i))"
 
 
 def _ratings(spark, sf):
-    """Ratings 1 to 5 by all suppliers, made of their keys. RATINGS still ends at 100 suppliers; on more, its SQL differs."""
+    """Ratings 1 to 5 by all suppliers, made of their keys."""
     s = table(spark, sf, "supplier").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(10))))
     rating = 1 + (F.col("s_suppkey") * 7 + F.col("i") * F.col("i") * 3 + F.col("s_nationkey") * F.col("i")) % 5
     return s.select((F.col("s_nationkey") % 5).cast("int").alias("cluster"), F.col("s_suppkey").alias("rater"), F.col("i").alias("item"), rating.cast("int").alias("rating"))

@@ -41,10 +41,10 @@ def str_canonical_keyword(spark, sf):
     return p.select("p_partkey", tx.canonical_keyword(F.col("raw")).alias("keyword"))
 
 
-@query(f"""WITH w AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM documents WHERE lang = 'en')
+@query(f"""WITH w AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM documents)
     SELECT word, {SINGULAR.format(w="word")} AS singular FROM w WHERE regexp_matches(word, '^[a-z]+$')""")
 def str_singular(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'")
+    d = table(spark, sf, "documents")
     w = d.select(F.explode(F.split(F.lower("text"), " ")).alias("word")).where(F.col("word").rlike("^[a-z]+$")).distinct()
     return w.select("word", tx.singular(F.col("word")).alias("singular"))
 
@@ -162,13 +162,14 @@ def flt_term_family(spark, sf):
 
 
 PLATFORMS = ["the", "of the", "heit", "construct", "and", "ing"]
-PATTERNS = {"construct": r"\bworthless\b|\bidiot\b"}
+#: Words between other characters than a-z, 0-9 and _: what \b takes for a letter beyond ASCII differs between engines.
+PATTERNS = {p: r"(?:^|[^a-z0-9_])(?:" + words + r")(?:$|[^a-z0-9_])" for p, words in {"the": "the", "heit": "heit", "and": "and", "ing": "ing", "construct": "worthless|idiot"}.items()}
 ATTRIBUTES = {"first": ["tion", "ing", "of", "keit"], "second": ["ment", "the", "worthless"]}
 CONSTRUCTS = {"perceived_usefulness": ["er", "on", "que", "sch", "de la"]}
 
 
 def _platform_texts(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'")
+    d = table(spark, sf, "documents")
     d = d.select("doc_id", (2000 + F.col("doc_id") % 20).alias("year"), (F.col("n_chars") % 50).alias("cited_by"), "source", F.col("text").alias("abstract"))
     return theory.document_text(d, ["source", "missing", "abstract"])
 
@@ -181,7 +182,7 @@ def _share(terms: list[str]) -> str:
     return "(" + " + ".join(f"CAST(contains(t, {quoted(x)}) AS INTEGER)" for x in terms) + f") / {len(terms)}"
 
 
-PLATFORM = f"""WITH d AS (SELECT doc_id, 2000 + doc_id % 20 AS year, n_chars % 50 AS cited_by, lower(source || ' ' || text) AS t FROM documents WHERE lang = 'en'),
+PLATFORM = f"""WITH d AS (SELECT doc_id, 2000 + doc_id % 20 AS year, n_chars % 50 AS cited_by, lower(source || ' ' || text) AS t FROM documents),
     m AS ({_mentions()}),
     s AS (SELECT platform, count(*) AS n_docs, avg({_share(ATTRIBUTES["first"])}) AS a1, avg({_share(ATTRIBUTES["second"])}) AS a2, avg({_share(CONSTRUCTS["perceived_usefulness"])}) AS perceived_usefulness, avg(year) AS mean_year, avg(cited_by) AS mean_citations FROM m GROUP BY 1)"""
 

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the cluster's checkpoint folder; where none is set (as in tests) in a temporary one."""
+    """df, computed once and kept in the cluster's checkpoint folder; where none is set and all runs on this machine (as
+    in tests) in a temporary one."""
     sc = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="scimap-"))
     return df.checkpoint(eager=True)
