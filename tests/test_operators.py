@@ -35,12 +35,16 @@ def test_two_triangles_are_two_clusters(two_triangles, algorithm):
 def test_too_large_a_graph_is_refused(two_triangles):
     with pytest.raises(Exception, match="at most 3"):
         cm.communities(two_triangles, most=3).collect()
+    with pytest.raises(ValueError, match="at most 3"):
+        cm.betweenness(two_triangles, most=3)
 
 
 def test_betweenness_on_a_path(spark):
     e = spark.createDataFrame([("p", "a", "b", 1), ("p", "b", "c", 1), ("p", "c", "d", 1)], "graph string, src string, dst string, weight int")
     got = {r.node: r.betweenness for r in cm.betweenness(e).collect()}
     assert got == pytest.approx({"a": 0, "b": 2 / 3, "c": 2 / 3, "d": 0})
+    again = {r.node: r.betweenness for r in cm.betweenness(e, blocks=3).collect()}
+    assert again == pytest.approx(got)
 
 
 def test_bootstrap_and_sweep(two_triangles):
