@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scimap.functions.text import latex_escape
-from scimap.operators.frequency import top
+from scimap.operators.frequency import cumulative, top, top_per_group
 from scimap.operators.laws import concentration_curve
 from scimap.operators.trends import item_years
 from scimap.sources.sinks import rows_of
@@ -29,11 +29,32 @@ def induced(nodes: DataFrame, edges: DataFrame, k: int = 40) -> tuple[DataFrame,
 
 
 def cluster_heatmap(clusters: DataFrame) -> DataFrame:
-    """A row for each graph with the sizes of its clusters as columns. clusters: graph, cluster, n; at most 50 columns."""
-    ids = [r[0] for r in clusters.select("cluster").distinct().orderBy("cluster").limit(50).collect()]
+    """A row for each graph with the sizes of its clusters as columns. clusters: graph, cluster, n.
+
+    More clusters than a figure can show (200) are an error: clusters itself is the long form.
+    """
+    ids = [r["cluster"] for r in rows_of(clusters.select("cluster").distinct().orderBy("cluster"), 200)]
     return clusters.groupBy("graph").pivot("cluster", ids).agg(F.sum("n")).na.fill(0)
 
 
+def completeness(counts: DataFrame) -> DataFrame:
+    """(year, n, total, share): documents of each year, so far, and the latter's share of all."""
+    c = cumulative(counts)
+    return c.crossJoin(c.agg(F.max("total").alias("_all"))).select("year", "n", "total", (F.col("total") / F.col("_all")).alias("share"))
+
+
+def thematic_scatter(quadrants: DataFrame) -> DataFrame:
+    """(cluster, n, x, y, quadrant): centrality and density, as shares of the largest of each (0 if that is 0)."""
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col(f"_{c}")), F.lit(0.0))
+    most = quadrants.agg(*[F.max(c).alias(f"_{c}") for c in ("centrality", "density")])
+    return quadrants.crossJoin(most).select("cluster", "n", share("centrality").alias("x"), share("density").alias("y"), "quadrant")
+
+
+def era_panels(eras: DataFrame, measures: tuple[str, ...] = ("n", "m", "density")) -> DataFrame:
+    """(era, measure, value): a row for each bar of each measure's panel."""
+    return eras.select("era", *[F.col(c).cast("double").alias(c) for c in measures]).unpivot("era", list(measures), "measure", "value")
+
+
 def timeline(series: DataFrame, fits: list[dict], points: int = 80, ahead: int = 5) -> list[dict]:
     """The curves (model, x, y) of fitted growth models over the series' years and `ahead` more, as rows on the driver."""
     years = [r["year"] for r in series.select("year").orderBy("year").collect()]
@@ -55,15 +76,11 @@ def trend_heatmap(items: DataFrame, first_year: int = 2008, k: int = 15) -> Data
 
 def zone_sources(zones: DataFrame, k: int = 12, per_zone: int = 25) -> DataFrame:
     """The k largest sources of the per_zone largest of each zone."""
-    from scimap.operators.frequency import top_per_group
-
     return top(top_per_group(zones, ["zone"], per_zone, F.col("i")), k, F.col("i")).select("item", "n", "zone")
 
 
 def scattering_curve(zones: DataFrame, per_zone: int = 25) -> DataFrame:
     """The concentration curve over the per_zone largest sources of each zone."""
-    from scimap.operators.frequency import top_per_group
-
     return concentration_curve(top_per_group(zones, ["zone"], per_zone, F.col("i")).select("item", "n"))
 
 

@@ -80,6 +80,24 @@ def regions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select(F.col("n_name").alias("node"), F.col("n_regionkey").alias("cluster"))
 
 
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents with the delimited columns of an export; in every third document keywords are plurals, in every third upper case."""
+    li, s, n, p = (table(spark, sf, t) for t in ("lineitem", "supplier", "nation", "part"))
+    rows = li.join(s, li["l_suppkey"] == s["s_suppkey"]).join(n, s["s_nationkey"] == n["n_nationkey"]).join(p, li["l_partkey"] == p["p_partkey"])
+    institute = F.concat(F.lit("Institute "), (F.col("s_suppkey") % 20).cast("string"))
+    form = F.when(F.col("l_orderkey") % 3 == 1, F.concat("p_name", F.lit("s"))).when(F.col("l_orderkey") % 3 == 2, F.upper("p_name")).otherwise(F.col("p_name"))
+    fields = {
+        "authors_raw": F.col("s_name"),
+        "keywords_raw": form,
+        "affiliations_raw": F.concat_ws(", ", institute, "n_name"),
+        "authors_affiliations_raw": F.concat_ws(", ", "s_name", F.lit("S."), institute, F.lit("City"), "n_name"),
+        "references_raw": F.concat(F.lit("Part"), F.col("p_partkey").cast("string"), F.lit(" A., Title ("), (1980 + F.col("p_partkey") % 30).cast("string"), F.lit(")")),
+    }
+    lists = rows.groupBy(F.col("l_orderkey").alias("doc_id")).agg(*[F.array_join(F.sort_array(F.collect_set(c)), "; ").alias(k) for k, c in fields.items()])
+    d = docs(spark, sf).drop("segment").join(lists, "doc_id", "left")
+    return d.withColumns({c: F.lit(None).cast("string") for c in ("index_keywords_raw", "abstract")})
+
+
 CTE = {
     "docs": """docs AS (SELECT o_orderkey AS doc_id, CAST(year(o_orderdate) AS INTEGER) AS year, c_name AS source, c_mktsegment AS segment, 'Order ' || o_orderkey AS title, CAST(coalesce(q, 0) AS BIGINT) AS cited_by
         FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)""",
@@ -92,6 +110,10 @@ CTE = {
     "coupled": "edges AS (SELECT a.doc_id AS src, b.doc_id AS dst, count(*) AS weight FROM refs a JOIN refs b ON a.ref = b.ref AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) >= 2)",
     "nodes": "nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges)",
     "two": "two AS (SELECT src AS u, dst AS v, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges)",
+    "forms": """forms AS (SELECT DISTINCT l_orderkey AS doc_id, p_name AS item, CASE l_orderkey % 3 WHEN 1 THEN p_name || 's' ELSE p_name END AS plain,
+        CASE l_orderkey % 3 WHEN 1 THEN p_name || 's' WHEN 2 THEN upper(p_name) ELSE p_name END AS raw FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)""",
+    "triples": """triples AS (SELECT DISTINCT l_orderkey AS doc_id, s_name || ', S.' AS author, 'Institute ' || s_suppkey % 20 AS institution, n_name AS country
+        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN orders ON l_orderkey = o_orderkey)""",
     "regions": "regions AS (SELECT n_name AS node, n_regionkey AS cluster FROM nation)",
 }
 GRAPH = ("countries", "edges", "nodes", "two", "regions")

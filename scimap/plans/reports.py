@@ -20,6 +20,7 @@ from scimap.sources import corpus as src
 from scimap.sources.stores import checkpointed
 
 Report = dict[str, DataFrame]
+ALGORITHMS = ("louvain", "leiden", "greedy", "label_propagation", "map_equation")
 
 
 def keyword_items(docs: DataFrame, canonical: bool = True, column: str = "keywords_raw") -> DataFrame:
@@ -69,16 +70,20 @@ def sensitivity_report(edges: DataFrame, resolutions: tuple[float, ...] = (0.5,
     e = named(edges, "keywords")
     members = checkpointed(communities.sweep(e, list(resolutions), seed).select("variant", "node", "cluster"))
     other = None
-    for name in ("louvain", "leiden", "greedy", "label_propagation", "map_equation"):
+    for name in ALGORITHMS:
         m = communities.communities(e, name, seed=seed).select(F.lit(name).alias("variant"), "node", "cluster")
         other = m if other is None else other.unionByName(m)
     other = checkpointed(other)
     sizes = other.groupBy("variant").agg(F.countDistinct("cluster").alias("n_clusters"))
+    quality = None
+    for name in ALGORITHMS:
+        q = graphs.modularity(edges, other.where(F.col("variant") == name).select("node", "cluster")).withColumn("variant", F.lit(name))
+        quality = q if quality is None else quality.unionByName(q)
     boot = communities.stability_summary(communities.bootstrap_stability(e, replicates, seed=seed))
     return {
         "ari": agreement.against_baseline(members, "1"),
         "jaccard": agreement.stability(members, "1"),
-        "algorithms": sizes.join(agreement.against_baseline(other, "louvain"), "variant"),
+        "algorithms": sizes.join(quality, "variant").join(agreement.against_baseline(other, "louvain"), "variant"),
         "bootstrap": boot,
     }
 
@@ -94,6 +99,11 @@ def minimum_sweep(docs: DataFrame, minima: tuple[int, ...] = (2, 3, 5, 10), seed
     return communities.communities(edges, "louvain", seed=seed).select(F.col("graph").alias("variant"), "node", "cluster")
 
 
+def shared_labels(raw: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(raw, node): raw labels (node) with the node of the canonical graph that their form is."""
+    return raw.select(F.col("node").alias("raw"), canonical_keyword(F.col("node")).alias("node")).join(canonical.select("node"), "node").select("raw", "node")
+
+
 def normalisation_report(docs: DataFrame, min_docs: int = 3, seed: int = 42) -> Report:
     """What canonical forms change: nodes and edges of both graphs, merged variants, agreement of their partitions."""
     raw, own = keyword_network(docs, min_docs, canonical=False), keyword_network(docs, min_docs)

@@ -1,18 +1,32 @@
-"""Intermediate results that iterative operators cut their lineage with."""
+"""Intermediate results that iterative operators cut their lineage with, and folders for files that are read again."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the cluster's checkpoint folder; where none is set and all runs on this machine (as
-    in tests) in a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder that the driver and all executors share; where none is set and all runs on this machine (as
+    in tests) a temporary one."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="scimap-"))
+        folder = tempfile.mkdtemp(prefix="scimap-")
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/scimap-{uuid.uuid4().hex}"
