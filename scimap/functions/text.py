@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +25,11 @@ def collapse_space(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+", " ")
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, with c evaluated once: an expression that f names several times would otherwise be copied to each place."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def plain_keyword(c: Column) -> Column:
     """Stripped and in lower case."""
     return F.lower(strip_space(c))
@@ -44,11 +50,14 @@ def canonical_keyword(c: Column, synonyms: dict[str, str] | None = None, protect
     """The canonical form of a keyword: cleaned, its synonym, or its last word in the singular and that one's synonym."""
     known = literal_map(lex.SYNONYMS if synonyms is None else synonyms)
     keep = lex.PROTECTED if protected is None else protected
-    s = F.btrim(collapse_space(plain_keyword(c)), F.lit(lex.KEYWORD_STRIP))
-    last = F.regexp_extract(s, "([^ ]*)$", 1)
-    one = F.when(last.isin(*keep), last).otherwise(singular(last)) if keep else singular(last)
-    head = F.concat(F.substring(s, F.lit(1), F.length(s) - F.length(last)), one)
-    return F.when(s == "", s).otherwise(F.coalesce(F.try_element_at(known, s), F.try_element_at(known, head), head))
+
+    def of_last(s: Column, last: Column) -> Column:
+        one = F.when(last.isin(*keep), last).otherwise(singular(last)) if keep else singular(last)
+        head = F.concat(F.substring(s, F.lit(1), F.length(s) - F.length(last)), one)
+        return F.when(s == "", s).otherwise(F.coalesce(F.try_element_at(known, s), let(head, lambda h: F.coalesce(F.try_element_at(known, h), h))))
+
+    clean = F.btrim(collapse_space(plain_keyword(c)), F.lit(lex.KEYWORD_STRIP))
+    return let(clean, lambda s: let(F.regexp_extract(s, "([^ ]*)$", 1), lambda last: of_last(s, last)))
 
 
 def normalise_country(c: Column, aliases: dict[str, str] | None = None) -> Column:

@@ -32,7 +32,7 @@ def keyword_items(docs: DataFrame, canonical: bool = True, column: str = "keywor
 
 def keyword_network(docs: DataFrame, min_docs: int = 3, canonical: bool = True) -> Report:
     """Nodes (node, n) and edges (src, dst, weight) of keywords in at least min_docs documents."""
-    items = keyword_items(docs, canonical)
+    items = checkpointed(keyword_items(docs, canonical).select("doc_id", "item"))
     return {"nodes": checkpointed(co.nodes_of(items, min_docs)), "edges": checkpointed(co.pairs(items, min_docs))}
 
 
