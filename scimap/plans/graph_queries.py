@@ -83,14 +83,14 @@ def graph_closeness(spark, sf):
 
 
 def _rank_rounds(k: int) -> str:
-    """The chain of CTEs of k rounds of PageRank; all nodes have edges, so no rank is lost."""
-    parts = ["n AS (SELECT count(*) AS n FROM nodes)", "o AS (SELECT u, sum(weight) AS w FROM two GROUP BY 1)", "r0 AS (SELECT node, 1 / n AS rank FROM nodes, n)"]
+    """The chain of CTEs of k rounds of PageRank, beside n; all nodes have edges, so no rank is lost."""
+    parts = ["o AS (SELECT u, sum(weight) AS w FROM two GROUP BY 1)", "r0 AS (SELECT node, 1 / n AS rank FROM nodes, n)"]
     for i in range(k):
         parts.append(f"r{i + 1} AS (SELECT v AS node, 0.85::DOUBLE * sum(rank * weight / w) + 0.15::DOUBLE / any_value(n) AS rank FROM r{i}, n, two, o WHERE r{i}.node = two.u AND two.u = o.u GROUP BY 1)")
     return ", ".join(parts)
 
 
-@query(f"{D}, {_rank_rounds(10)} SELECT node, round(rank, 6) AS rank FROM r10")
+@query(f"{D}, n AS (SELECT count(*) AS n FROM nodes), {_rank_rounds(10)} SELECT node, round(rank, 6) AS rank FROM r10")
 def graph_pagerank_fixed_iters(spark, sf):
     return gr.pagerank(*ad.coupling_graph(spark, sf), rounds=10).withColumn("rank", F.round("rank", 6))
 
@@ -138,7 +138,17 @@ def graph_eigenvector(spark, sf):
     return gr.eigenvector(*ad.country_graph(spark, sf)).withColumn("centrality", F.round("centrality", 5))
 
 
-@query()
+#: Distances by rounds of longer walks, then numbers of shortest paths by rounds of edges that lie on one.
+BETWEEN = """far AS (SELECT node AS s, node AS t, 0 AS d, 0 AS h FROM nodes UNION ALL SELECT s, v, CAST(min(d + weight) AS INTEGER), h + 1 FROM far JOIN two ON t = u WHERE h < 24 GROUP BY s, v, h),
+    dist AS (SELECT s, t, min(d) AS d FROM far GROUP BY 1, 2),
+    tight AS (SELECT x.s, u, v FROM dist x JOIN two ON x.t = u JOIN dist y ON y.s = x.s AND y.t = v WHERE y.d = x.d + weight),
+    step AS (SELECT node AS s, node AS t, 1::DOUBLE AS k FROM nodes UNION ALL SELECT step.s, v, sum(k) FROM step JOIN tight ON tight.s = step.s AND u = t GROUP BY step.s, v),
+    ways AS (SELECT s, t, d, sum(k) AS k FROM step JOIN dist USING (s, t) GROUP BY 1, 2, 3),
+    past AS (SELECT a.t AS node, sum(a.k * z.k / w.k) AS b FROM ways a JOIN ways z ON z.s = a.t JOIN ways w ON w.s = a.s AND w.t = z.t WHERE a.d + z.d = w.d AND a.s <> a.t AND z.s <> z.t GROUP BY 1),
+    btw AS (SELECT node, coalesce(b, 0) / ((SELECT count(*) FROM nodes) - 1) / ((SELECT count(*) FROM nodes) - 2) AS betweenness FROM nodes LEFT JOIN past USING (node))"""
+
+
+@query(f"{R}, {BETWEEN} SELECT 'countries' AS graph, node, round(betweenness, 6) AS betweenness FROM btw")
 def graph_betweenness(spark, sf):
     return cm.betweenness(_named(spark, sf)).withColumn("betweenness", F.round("betweenness", 6))
 
@@ -217,8 +227,12 @@ def graph_network_metrics(spark, sf):
     return m.select("n", "m", *[F.round(c, 6).alias(c) for c in ("density", "mean_degree", "clustering")], "components", F.round("modularity", 6).alias("modularity"), "diameter")
 
 
-@query()
+@query(f"""{HOPS}, {DEGREE}, {BETWEEN}, {_power_rounds(12)}, {_rank_rounds(20)},
+    cl AS (SELECT s AS node, CASE WHEN sum(d) > 0 THEN (count(*) - 1) / sum(d) * (count(*) - 1) / (any_value(n) - 1) ELSE 0 END AS closeness FROM hop, n GROUP BY 1)
+    SELECT node, degree, round(degree / (n - 1), 5) AS centrality, round(betweenness, 5) AS betweenness, round(closeness, 5) AS closeness, round(x, 5) AS eigenvector, round(rank, 5) AS rank
+    FROM deg JOIN btw USING (node) JOIN cl USING (node) JOIN x12 USING (node) JOIN r20 USING (node), n""")
 def graph_node_metrics(spark, sf):
+    """Centralities settle within 12 and 20 rounds."""
     nodes, edges = ad.country_graph(spark, sf)
     m = cm.node_metrics(nodes, edges)
     return m.select("node", "degree", *[F.round(c, 5).alias(c) for c in ("centrality", "betweenness", "closeness", "eigenvector", "rank")])

@@ -1,4 +1,6 @@
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ def one(df):
     return row
 
 
-@pytest.mark.parametrize("algorithm", sorted(cm.ALGORITHMS))
+@pytest.mark.parametrize("algorithm", sorted([*cm.ALGORITHMS, "label_propagation"]))
 def test_two_triangles_are_two_clusters(two_triangles, algorithm):
     rows = cm.communities(two_triangles, algorithm).collect()
     found = {}
@@ -32,6 +34,25 @@ def test_two_triangles_are_two_clusters(two_triangles, algorithm):
     assert sorted(cm.communities(two_triangles, algorithm).collect()) == sorted(rows)
 
 
+def test_label_propagation_ends_where_no_node_would_change(spark):
+    rng = random.Random(5)
+    pairs = {tuple(sorted(rng.sample(range(30), 2))) for _ in range(60)}
+    edges = [(g, f"n{a:02}", f"n{b:02}", rng.randint(1, 3)) for g in ("g", "h") for a, b in sorted(pairs)]
+    df = spark.createDataFrame([*edges, ("g", "own", "own", 2)], "graph string, src string, dst string, weight int")
+    rows = cm.propagation(df).collect()
+    label = {(r.graph, r.node): r.cluster for r in rows}
+    assert len(label) == len(rows) == len({(g, n) for g, a, b, _ in edges for n in (a, b)}) + 1
+    about = {}
+    for g, a, b, w in edges:
+        for x, y in ((a, b), (b, a)):
+            sums = about.setdefault((g, x), {})
+            sums[label[g, y]] = sums.get(label[g, y], 0) + w
+    assert all(sums.get(label[node], 0) == max(sums.values()) for node, sums in about.items())
+    for graph in ("g", "h"):
+        sizes = Counter(c for (g, _), c in label.items() if g == graph)
+        assert sorted(sizes) == list(range(len(sizes))) and [sizes[c] for c in sorted(sizes)] == sorted(sizes.values(), reverse=True)
+
+
 def test_too_large_a_graph_is_refused(two_triangles):
     with pytest.raises(Exception, match="at most 3"):
         cm.communities(two_triangles, most=3).collect()
