@@ -147,13 +147,13 @@ def scored_texts(docs: DataFrame, model: Model, text_col: str = "text", drop: bo
 
 def is_held_out(id_col: str = "doc_id"):
     """Documents that are never learned from: crc32 of the id as text, modulo 4, is 2. Null ids are held out."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(True))
+    return F.coalesce(F.crc32(col(id_col).cast("string")) % 4 == 2, F.lit(True))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = EXAMPLES) -> Model:
     """fit() on the labelled documents that aren't held out: on the first `most` labels by a hash of their ids, if there
     are more. Only their texts are looked at."""
-    y = labels.where(~is_held_out(id_col) & F.col(label_col).isin(0, 1)).select(col(id_col).alias("key"), F.col(label_col).cast("int").alias("label"))
+    y = labels.where(~is_held_out(id_col) & col(label_col).isin(0, 1)).select(col(id_col).alias("key"), col(label_col).cast("int").alias("label"))
     y = written(y.orderBy(F.xxhash64("key"), "key", "label").limit(most))
     d = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(y), F.col("id") == F.col("key")).select("label", "text")
     return fit(features(d, "text", drop_text=True))
@@ -165,8 +165,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     predicted is 1 where score >= threshold. Null and empty texts, and those of white space, have the statistics 0 and
     a score like any other; repeated rows have equal scores. An empty table gives no rows.
     """
-    s = scored_texts(docs.select(id_col, text_col), train(docs, labels, id_col, text_col), text_col, drop=True)
-    return s.select(id_col, is_held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    s = scored_texts(docs.select(col(id_col), col(text_col)), train(docs, labels, id_col, text_col), text_col, drop=True)
+    return s.select(col(id_col), is_held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
