@@ -101,14 +101,15 @@ ORACLES = {
                 CASE WHEN role = 'system' THEN '<|system|>' WHEN role = perspective THEN '<|assistant|>' ELSE '<|user:' || regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g') || '|>' END || chr(10) AS head,
                 regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '<|end|>' AS body
             FROM m JOIN people ON conv_id IS NOT DISTINCT FROM c),
+        p AS (SELECT *, CAST((row_number() OVER (PARTITION BY conv_id, perspective, segment ORDER BY turn NULLS FIRST, role, text) - 1) // 1024 AS BIGINT) AS part FROM r),
         s AS (
-            SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, segment ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) - length(body) - 1 AS start
-            FROM r)
-        SELECT conv_id, perspective, segment, count(*) AS n_messages,
+            SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, segment, part ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) - length(body) - 1 AS start
+            FROM p)
+        SELECT conv_id, perspective, segment, part, count(*) AS n_messages,
             string_agg(head || body || chr(10), '' ORDER BY turn, role, text) AS dialogue,
             coalesce(string_agg(CAST(start AS VARCHAR) || '-' || CAST(start + length(body) AS VARCHAR), ',' ORDER BY turn, role, text) FILTER (role = perspective), '') AS spans,
             CAST(coalesce(sum(length(body)) FILTER (role = perspective), 0) AS BIGINT) AS n_learned
-        FROM s GROUP BY conv_id, perspective, segment""",
+        FROM s GROUP BY conv_id, perspective, segment, part""",
     "op5_line_dedup": """
         WITH l AS (
             SELECT doc_id, i, lines[i] AS line,

@@ -221,3 +221,26 @@ def test_no_text_or_name_passes_for_a_turn(spark):
         back = [re.sub(r"<\\(\\*)\|", lambda x: f"<{x[1]}|", r.dialogue[s.start : s.end].removesuffix("<|end|>")) for s in r.spans]
         assert back == [t for _, _, role, t in rows if role == r.perspective]
     assert chat.rotate_perspectives(m.where(F.col("turn") < 0)).count() == 0
+
+
+def test_crowded_segments_are_cut_into_parts(spark):
+    """Conversations with null, repeated and many turns, and repeated rows, against the same messages sorted and cut."""
+    rng = random.Random(3)
+    rows = [(None, None, rng.choice(["a", "b", None]), rng.choice(["x", "y", None])) for _ in range(150)]
+    rows += [(1, rng.choice([None, 3, 3, 5]), rng.choice(["a", "b"]), f"t{rng.randint(0, 30)}") for _ in range(120)]
+    rows += [(2, t, "ab"[t % 2], f"t{t}") for t in range(300)] + [(3, 7, "a", "same")] * 50 + [(4, 1, "a", "few")]
+    m = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    cells = {}
+    for conv, turn, role, text in rows:
+        cells.setdefault((conv, None if turn is None else turn // 64), []).append((turn, role or "unknown", text or ""))
+    for most in (10, 64, 1000):
+        want = Counter()
+        for (conv, segment), cell in cells.items():
+            cell.sort(key=lambda x: (x[0] is not None, x))
+            for p in {x[1] for (c, _), v in cells.items() if c == conv for x in v}:
+                for i in range(0, len(cell), most):
+                    part = cell[i : i + most]
+                    heads = ["<|assistant|>\n" if role == p else f"<|user:{role}|>\n" for _, role, _ in part]
+                    want[conv, p, segment, i // most, len(part), "".join(f"{h}{t}<|end|>\n" for h, (_, _, t) in zip(heads, part))] += 1
+        got = chat.rotate_perspectives(m, most=most).select("conv_id", "perspective", "segment", "part", "n_messages", "dialogue")
+        assert Counter(map(tuple, got.collect())) == want
