@@ -107,3 +107,24 @@ def ascii_lower(c: Column) -> Column:
 def count_words(c: Column) -> Column:
     """The number of runs of other than white space; 0 for null."""
     return F.coalesce(F.regexp_count(c, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def fits(vector: Column) -> Column:
+    """Whether a vector is there, without null or non-finite components."""
+    return vector.isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+
+def with_group_sum(df: DataFrame, key: str, value: str, out: str, share: int = 1024) -> DataFrame:
+    """df, a written table, with out: the sum of the whole numbers `value` over the rows of equal key, nulls together.
+
+    Keys that have more than 1 / share of all rows, fewer than `share` of them, are broadcast, so that their rows stay
+    where they are; the rows of the others are dealt by key.
+    """
+    sums = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(value).cast("decimal(20,0)")).cast("long").alias(out))
+    sums = written(sums, small=True)
+    total = sums.agg(F.sum("_n")).first()[0] or 0
+    hot, rest = sums.where(F.col("_n") * share > total), sums.where(F.col("_n") * share <= total)
+    on = F.col(key).eqNullSafe(F.col("_key"))
+    here = df.join(F.broadcast(hot), on)  # fewer than `share` rows
+    there = df.join(F.broadcast(hot), on, "left_anti").join(rest.hint("shuffle_hash"), on)
+    return here.unionByName(there).drop("_key", "_n")

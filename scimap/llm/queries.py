@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scimap.llm import bpe, chat, line_dedup, lm, media, mixing, quality, search, simhash, substring
+from scimap.llm import bpe, centroids, chat, codes, line_dedup, lm, media, mixing, packing, quality, search, simhash, substring
 from scimap.llm.common import table
 
 
@@ -72,6 +72,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("id").alias("doc_id"), "n_words", "n_removed", kept)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code of 16 parts by codebooks of 64 entries, and its error."""
+    d, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return d.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after three of Lloyd's rounds over 16 centroids."""
+    d = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    text = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return d.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.sha2(text, 256).alias("centroid_sha256"))
+
+
+def op13_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in sequences of 1024 that share the corpus's mixture of sources."""
+    p = packing.pack(table(spark, sf_dir, "documents"))
+    return p.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline's token ids, as lowercase hex of little-endian 32-bit integers."""
     return corpus_pipeline.run(spark, sf_dir).withColumn("ids", F.lower(F.hex("ids")))
@@ -88,10 +107,72 @@ QUERIES = {
     "op8_quality_qda": op8_quality_qda,
     "op9_media_columns": op9_media_columns,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_mixture_packing": op13_mixture_packing,
     "pipeline": pipeline,
 }
 
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """SQL for op 11: an entry's and a part's components are lists; each round is a table of nearest entries and one of means."""
+    sql = f"""
+        WITH v AS MATERIALIZED (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT vec_id, part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] AS x FROM v, range({parts}) t(part)),
+        first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT {entries}),
+        b0 AS MATERIALIZED (SELECT part, entry, x AS m FROM p JOIN first USING (vec_id))"""
+    for i in range(rounds + 1):
+        sql += f""",
+        a{i} AS MATERIALIZED (
+            SELECT vec_id, part, any_value(x) AS x, min(list_sum(list_transform(list_zip(x, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * {entries} + entry) AS best
+            FROM p JOIN b{i} USING (part) GROUP BY vec_id, part)"""
+        if i < rounds:
+            sql += f""",
+        c{i} AS MATERIALIZED (
+            SELECT part, entry, list(m ORDER BY d) AS m FROM (
+                SELECT part, best % {entries} AS entry, d, CAST(floor(sum(x[d]) / count(*)) AS BIGINT) AS m FROM a{i}, range(1, 1 + (SELECT max(len(x)) FROM p)) t(d) GROUP BY ALL)
+            GROUP BY ALL),
+        b{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(c.m, b.m) AS m FROM b{i} b LEFT JOIN c{i} c USING (part, entry))"""
+    return sql + f""",
+        e AS (
+            SELECT vec_id, string_agg(printf('%02x', best % {entries}), '' ORDER BY part) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error
+            FROM a{rounds} GROUP BY vec_id)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+            (SELECT sha256(string_agg(array_to_string(m, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+        FROM e JOIN v USING (vec_id)"""
+
+
+def _clusters_sql(k: int = 16, rounds: int = 3) -> str:
+    """SQL for op 12."""
+    sql = f"""
+        WITH v AS MATERIALIZED (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        b0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v AS m FROM v ORDER BY sha256('1:' || vec_id) LIMIT {k})"""
+    for i in range(rounds + 1):
+        sql += f""",
+        a{i} AS MATERIALIZED (
+            SELECT vec_id, any_value(v) AS v, min(list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * {k} + c) AS best
+            FROM v, b{i} GROUP BY vec_id)"""
+        if i < rounds:
+            sql += f""",
+        c{i} AS MATERIALIZED (
+            SELECT c, list(m ORDER BY d) AS m FROM (
+                SELECT best % {k} AS c, d, CAST(floor(sum(v[d]) / count(*)) AS BIGINT) AS m FROM a{i}, range(1, 65) t(d) GROUP BY ALL)
+            GROUP BY ALL),
+        b{i + 1} AS MATERIALIZED (SELECT c, coalesce(n.m, b.m) AS m FROM b{i} b LEFT JOIN c{i} n USING (c))"""
+    return sql + f"""
+        SELECT vec_id, CAST(best % {k} AS INTEGER) AS cluster, CAST(best // {k} AS BIGINT) AS distance, CAST(sum(best // {k}) OVER (PARTITION BY best % {k}) AS BIGINT) AS cluster_inertia,
+            CAST(sum(best // {k}) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN b{rounds} ON c = best % {k}"""
+
+
 ORACLES = {
+    "op11_vector_codes": _codes_sql(),
+    "op12_centroid_clusters": _clusters_sql(),
     "op3_chat_perspectives": r"""
         WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
         -- marks in names and texts are escaped
