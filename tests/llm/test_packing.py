@@ -101,15 +101,28 @@ def test_closed_forms():
     assert packing.sequence_ends(2048 + 7, 1024) == [1024, 2048, 2052, 2054, 2055] and packing.sequence_ends(5, 1024) == [4, 5]
 
 
-def test_words_by_themselves():
-    """Words between single spaces, long texts in parts and odd white space encode as whole texts do."""
-    tokens = packing.load(packing.default_path())
-    assert tokens.by_words
-    space = "".join(chr(c) for c in range(0x3100) if chr(c).isspace() or c in (0x180E, 0x200B, 0x2060, 0xFEFF))
-    texts = ["", " ", "  a  b ", "it's 'tis 12 345", "a b c　 d", *[f"one{c} two {c}three {c} four{c}{c}five" for c in space], " ".join(["<|endoftext|>x", "l" * 500, "zó"])]
-    assert tokens.encode(texts) == tokens.plain(texts)
-    long = "some words, 42 and\nmore " * 100_000 + "y" * 1_200_000
-    assert len(long) > 3 * packing.PART and tokens.whole(long) == tokens.plain([long])[0]
+def test_ids_equal_those_of_the_library(tmp_path):
+    """Every code point in several places, odd white space, long texts in parts; files of other kinds go to the library."""
+    tokens, t = packing.load(packing.default_path()), Tokenizer.from_file(packing.default_path())
+    assert tokens.ranked
+    t.encode_special_tokens = True
+    plain = lambda texts: [np.array(e.ids, tokens.dtype).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 1 << 16):
+        texts = [f"a{c}1{c}{c} {c}b.{c} {c}{c}\n{c}" for c in points[at : at + (1 << 16) : 3 if at else 1]]
+        assert list(map(tokens.encode, texts)) == plain(texts)
+    long = "some words, 42 and\nmore " * 100_000 + "y" * 1_200_000 + " " * 50_000 + "<|endoftext|>"
+    assert len(list(packing.parts(long))) == 3 and tokens.encode(long) == plain([long])[0]
+    space = "".join(c for c in points if c.isspace())
+    texts = [f"one{a} two {b}three {a}{b} four" for a in space for b in " x\t"]
+    assert [b"".join(map(tokens.encode, packing.parts(x, 1))) for x in texts] == plain(texts)
+    import json
+
+    spec = json.load(open(packing.default_path()))
+    spec["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    other = packing.Tokens(str(tmp_path / "other.json"))
+    assert not other.ranked and other.encode("Ab CD") == tokens.encode("ab cd")
 
 
 def test_rare_sources(spark):
