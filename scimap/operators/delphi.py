@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scimap.operators.agreement import krippendorff, rater_pairs
+from scimap.operators.agreement import alpha_of_items, krippendorff, rater_pair_summary
 from scimap.operators.frequency import item_stats
+from scimap.operators.ranks import running
+from scimap.sources.stores import checkpointed
 
 
 def _noise(seed: int, *cols: str):
@@ -50,23 +52,39 @@ def item_aggregates(ratings: DataFrame) -> DataFrame:
 
 def kappa_summary(ratings: DataFrame) -> DataFrame:
     """(cluster, n_pairs, mean, least, most) of the kappas of all pairs of raters over all items, cut at 4."""
-    k = rater_pairs(ratings, ["cluster"])
-    return k.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("kappa").alias("mean"), F.min("kappa").alias("least"), F.max("kappa").alias("most"))
+    return rater_pair_summary(ratings, ["cluster"])
+
+
+def multiplicities(raters: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(cluster, rater, times): how often each replicate's panel has the rater, an array with a number for each replicate.
+
+    A replicate draws as many seats as its cluster has raters, with replacement; the rater on a seat is fixed by the
+    first eight hexadecimal digits of the MD5 of `seed:cluster:replicate:seat`.
+    """
+    r = running(raters.select("cluster", "rater", F.lit(1).alias("_one")), [F.col("rater")], "_one", ["cluster"])
+    r = checkpointed(r.select("cluster", "rater", (F.col("i") - 1).cast("long").alias("seat"), F.col("total").alias("n")))
+    text = F.concat_ws(":", F.lit(str(seed)), F.col("cluster").cast("string"), F.col("replicate").cast("string"), F.col("seat").cast("string"))
+    drawn = r.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    drawn = drawn.select("cluster", "replicate", (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.col("n")).alias("seat"))
+    counts = drawn.groupBy("cluster", "seat", "replicate").agg(F.count(F.lit(1)).alias("k"))
+    known = counts.groupBy("cluster", "seat").agg(F.map_from_entries(F.collect_list(F.struct("replicate", "k"))).alias("of"))
+    times = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda i: F.coalesce(F.col("of")[i], F.lit(0)))
+    return r.join(known, ["cluster", "seat"]).select("cluster", "rater", times.alias("times"))
 
 
 def bootstrap_alpha(ratings: DataFrame, replicates: int = 300, seed: int = 42) -> DataFrame:
     """(cluster, alpha, low, high): alpha with the 2.5 and 97.5 percentiles over resampled panels.
 
-    A replicate draws as many raters as there are, with replacement; each drawn seat is a row joined to its rater's ratings.
+    A rater stands in a replicate as often as multiplicities() says. Alpha wants counts, sums and sums of squares by item,
+    so each rating brings its rater's array of multiplicities, and these are summed by replicate before anything moves.
+    Replicates in which a panel has no rating of two raters count as krippendorff() says.
     """
-    raters = ratings.select("cluster", "rater").distinct()
-    w = Window.partitionBy("cluster").orderBy("rater")
-    raters = raters.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cluster")))
-    seat = raters.select("cluster", "n", F.col("i").alias("seat")).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    seat = seat.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "cluster", "replicate", "seat"), F.col("n")).cast("int"))
-    drawn = seat.select("cluster", "replicate", "i").join(raters.select("cluster", "i", "rater"), ["cluster", "i"])
-    alphas = krippendorff(drawn.join(ratings, ["cluster", "rater"]), ["cluster", "replicate"])
-    g = alphas.groupBy("cluster").agg(F.percentile("alpha", F.lit(0.025)).alias("low"), F.percentile("alpha", F.lit(0.975)).alias("high"))
+    times = multiplicities(ratings.select("cluster", "rater").distinct(), replicates, seed)
+    r = ratings.select("cluster", "rater", "item", F.col("rating").cast("double").alias("x")).join(times, ["cluster", "rater"])
+    r = r.select("cluster", "item", "x", F.posexplode("times").alias("replicate", "k")).where("k > 0")
+    items = r.groupBy("cluster", "replicate", "item").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("x")).alias("s"), F.sum(F.col("k") * F.col("x") * F.col("x")).alias("q"))
+    alphas = alpha_of_items(items, ["cluster", "replicate"])
+    g = alphas.groupBy("cluster").agg(F.count(F.lit(1)).alias("replicates"), F.percentile("alpha", F.lit(0.025)).alias("low"), F.percentile("alpha", F.lit(0.975)).alias("high"))
     return krippendorff(ratings, ["cluster"]).select("cluster", "alpha").join(g, "cluster")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scimap.sources.stores import checkpointed
+from scimap.operators.ranks import keyed_join, running
+from scimap.sources.stores import checkpointed, released
 
 
 def build(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -70,18 +71,27 @@ def mean_clustering(nodes: DataFrame, edges: DataFrame, weighted: bool = False)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable. Labels spread to neighbours and jump to their labels' labels."""
-    e = checkpointed(both_ways(edges).select("u", "v"))
-    label = checkpointed(nodes.select("node", F.col("node").alias("component")))
+    """(node, component): the smallest node reachable.
+
+    Large and small stars in turn: each node links its larger neighbours, then itself and its smaller ones, to the
+    smallest of all of them, until what is left are stars about components' smallest nodes. Rounds grow with the
+    logarithm of the size, on long paths too. The neighbours of a hub are not brought together: see keyed_join().
+    """
+    two = [F.struct(F.col("src").alias("u"), F.col("dst").alias("v")), F.struct(F.col("dst").alias("u"), F.col("src").alias("v"))]
+    e = checkpointed(edges.where("src <> dst").select("src", "dst").distinct())
     while True:
-        near = e.join(label, e["v"] == label["node"]).groupBy("u").agg(F.min("component").alias("m"))
-        step = label.join(near, label["node"] == near["u"], "left").select("node", F.col("component").alias("old"), F.least("component", "m").alias("mid"))
-        jump = label.select(F.col("node").alias("mid"), F.col("component").alias("far"))
-        now = step.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("component"))
-        now = checkpointed(now)
-        if now.where("component < old").isEmpty():
-            return now.select("node", "component")
-        label = now.select("node", "component")
+        b = e.select(F.inline(F.array(*two)))
+        first = checkpointed(b.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")))
+        large = checkpointed(keyed_join(b.where("v > u"), first, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = keyed_join(large, least, "u", "n").where("v <> m").select(F.col("v").alias("src"), F.col("m").alias("dst"))
+        now = checkpointed(small.unionByName(least.select(F.col("u").alias("src"), F.col("m").alias("dst"))).distinct())
+        done = least.where("n > 1").isEmpty() and now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").isEmpty()
+        released(e, first, large, least)
+        e = now
+        if done:
+            own = e.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+            return nodes.select("node").distinct().join(own, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -96,36 +106,67 @@ def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0)
     return q.crossJoin(k).select(F.when(F.col("k") > 1, F.coalesce("q", F.lit(0.0))).otherwise(0.0).alias("modularity"))
 
 
-def hops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(source, node, d): numbers of edges on shortest paths between all connected pairs, the node itself at 0.
+def numbered(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(node, i) with numbers from 0, (u, v, weight) in both directions by number, and how many nodes there are."""
+    n = running(nodes.select("node").distinct().withColumn("_one", F.lit(1)), [F.col("node")], "_one")
+    n = checkpointed(n.select("node", (F.col("i") - 1).cast("long").alias("i")))
+    e = edges.where("src <> dst").join(n.select(F.col("node").alias("src"), F.col("i").alias("a")), "src").join(n.select(F.col("node").alias("dst"), F.col("i").alias("b")), "dst")
+    two = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
+    return n, checkpointed(e.select("weight", F.inline(two)).select("u", "v", "weight")), n.count()
 
-    All sources advance together by one join a hop. The result has a row for each pair: for graphs of keywords or
-    countries, not of documents.
-    """
-    e = checkpointed(both_ways(edges).select("u", "v"))
-    seen = checkpointed(nodes.select(F.col("node").alias("source"), "node", F.lit(0).alias("d")))
-    edge_of, d = seen, 0
-    while True:
-        d += 1
-        far = edge_of.join(e, edge_of["node"] == e["u"]).select("source", F.col("v").alias("node")).distinct()
-        new = checkpointed(far.join(seen, ["source", "node"], "left_anti").withColumn("d", F.lit(d)))
-        if new.isEmpty():
-            return seen
-        seen, edge_of = checkpointed(seen.unionByName(new)), new
 
+def reach(nodes: DataFrame, edges: DataFrame, rows: int = 1 << 26) -> DataFrame:
+    """(node, reached, total, farthest): of all nodes that a node is connected with, itself included, how many there are,
+    the sum of the numbers of edges between them, and the largest of these.
 
-def diameter(nodes: DataFrame, distances: DataFrame) -> DataFrame:
-    """One row diameter: the largest distance; null if the graph isn't connected or has one node."""
-    g = distances.agg(F.max("d").alias("d"), F.count(F.lit(1)).alias("pairs")).crossJoin(nodes.agg(F.count(F.lit(1)).alias("n")))
-    return g.select(F.when((F.col("n") > 1) & (F.col("pairs") == F.col("n") * F.col("n")), F.col("d").cast("long")).alias("diameter"))
-
-
-def closeness(nodes: DataFrame, distances: DataFrame) -> DataFrame:
-    """(node, closeness): reachable nodes over the sum of their distances, times their share of all others; 0 without any."""
-    g = distances.groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("r"), F.sum("d").alias("s"))
-    g = g.crossJoin(nodes.agg(F.count(F.lit(1)).alias("n")))
-    r = F.col("r") - 1
-    return g.select("node", F.coalesce(F.try_divide(r, F.col("s")) * F.try_divide(r, F.col("n") - 1), F.lit(0.0)).alias("closeness"))
+    Breadth-first search from 64 sources in a machine word: a row (node, word) has a bit for each of the word's sources
+    that has come to the node. In a round the bits that are new go along the edges, are joined by OR, and those not seen
+    before are counted; sources and targets are the same nodes, so counts by target are counts by source. Distances of
+    pairs are never rows. Words are searched so many at a time that there are `rows` rows at most.
+    """
+    n, e, count = numbered(nodes, edges)
+    words = -(-count // 64)
+    batch = max(1, rows // max(1, count))
+    found = None
+    for first in range(0, words, batch):
+        some = n.where(F.col("i").between(64 * first, 64 * min(words, first + batch) - 1))
+        bits = F.expr("shiftleft(1L, CAST(i % 64 AS INT))")
+        state = some.select("i", F.expr("i div 64").alias("word"), bits.alias("seen"), bits.alias("new"), F.lit(1).alias("reached"), F.lit(0).cast("long").alias("total"), F.lit(0).alias("farthest"))
+        d = 0
+        while True:
+            d += 1
+            far = e.join(state.where("new <> 0").select(F.col("i").alias("u"), "word", "new"), "u")
+            got = far.groupBy(F.col("v").alias("i"), "word").agg(F.bit_or("new").alias("got"))
+            state = state.join(got, ["i", "word"], "full")
+            fresh = F.coalesce(F.col("got").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0)))), F.lit(0))
+            state = state.select("i", "word", F.coalesce("seen", F.lit(0).cast("long")).alias("seen"), fresh.alias("new"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("reached", "total", "farthest")])
+            k = F.bit_count("new")
+            state = state.select("i", "word", F.col("seen").bitwiseOR(F.col("new")).alias("seen"), "new", (F.col("reached") + k).alias("reached"), (F.col("total") + d * k).alias("total"), F.when(k > 0, d).otherwise(F.col("farthest")).alias("farthest"))
+            now = checkpointed(state)
+            if d > 1:
+                released(last)
+            state = last = now
+            if state.where("new <> 0").isEmpty():
+                break
+        own = state.groupBy("i").agg(F.sum("reached").alias("reached"), F.sum("total").alias("total"), F.max("farthest").alias("farthest"))
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        return n.select("node", F.lit(0).cast("long").alias("reached"), F.lit(0).cast("long").alias("total"), F.lit(0).alias("farthest"))
+    found = found.groupBy("i").agg(F.sum("reached").alias("reached"), F.sum("total").alias("total"), F.max("farthest").alias("farthest"))
+    return n.join(found, "i").select("node", "reached", "total", "farthest")
+
+
+def diameter(nodes: DataFrame, reached: DataFrame) -> DataFrame:
+    """One row diameter: the largest distance of reach(); null if the graph isn't connected or has one node."""
+    g = reached.agg(F.max("farthest").alias("d"), F.min("reached").alias("least")).crossJoin(nodes.agg(F.countDistinct("node").alias("n")))
+    return g.select(F.when((F.col("n") > 1) & (F.col("least") == F.col("n")), F.col("d").cast("long")).alias("diameter"))
+
+
+def closeness(nodes: DataFrame, reached: DataFrame) -> DataFrame:
+    """(node, closeness) of reach(): reachable nodes over the sum of their distances, times their share of all others; 0 without any."""
+    g = reached.crossJoin(nodes.agg(F.countDistinct("node").alias("n")))
+    r = F.col("reached") - 1
+    return g.select("node", F.coalesce(F.try_divide(r, F.col("total")) * F.try_divide(r, F.col("n") - 1), F.lit(0.0)).alias("closeness"))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int | None = None, damping: float = 0.85, tolerance: float = 1e-6, most: int = 100) -> DataFrame:
@@ -201,4 +242,4 @@ def network_metrics(nodes: DataFrame, edges: DataFrame, membership: DataFrame) -
     """One row: n, m, density, mean_degree, clustering, components, modularity, diameter."""
     parts = components(nodes, edges).agg(F.countDistinct("component").alias("components"))
     row = density(nodes, edges).crossJoin(mean_clustering(nodes, edges)).crossJoin(parts).crossJoin(modularity(edges, membership))
-    return row.crossJoin(diameter(nodes, hops(nodes, edges)))
+    return row.crossJoin(diameter(nodes, reach(nodes, edges)))

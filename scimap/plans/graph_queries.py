@@ -67,19 +67,29 @@ def graph_modularity(spark, sf):
     return gr.modularity(edges, ad.regions(spark, sf)).select(F.round("modularity", 6).alias("modularity"))
 
 
-HOPS = f"""{R}, walk AS (SELECT node AS s, node AS t, 0 AS d FROM nodes UNION SELECT s, v, d + 1 FROM walk JOIN two ON t = u WHERE d < 8), hop AS (SELECT s, t, min(d) AS d FROM walk GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM nodes)"""
+#: Each pair's least number of edges: a pair that is there already is not met again.
+HOP = """hop(s, t, d) USING KEY (s, t) AS (SELECT node, node, 0 FROM nodes UNION
+        SELECT hop.s, v, hop.d + 1 FROM hop JOIN two ON hop.t = u LEFT JOIN recurring.hop AS r ON r.s = hop.s AND r.t = v WHERE r.s IS NULL), n AS (SELECT count(*) AS n FROM nodes)"""
 
 
-@query(f"{HOPS} SELECT CAST(CASE WHEN count(*) = any_value(n) * any_value(n) AND any_value(n) > 1 THEN max(d) END AS BIGINT) AS diameter FROM hop, n")
+@query(f"{R}, {HOP} SELECT CAST(CASE WHEN count(*) = any_value(n) * any_value(n) AND any_value(n) > 1 THEN max(d) END AS BIGINT) AS diameter FROM hop, n")
 def graph_diameter(spark, sf):
     nodes, edges = ad.country_graph(spark, sf)
-    return gr.diameter(nodes, gr.hops(nodes, edges))
+    return gr.diameter(nodes, gr.reach(nodes, edges))
 
 
-@query(f"{HOPS} SELECT s AS node, round(CASE WHEN sum(d) > 0 THEN (count(*) - 1) / sum(d) * (count(*) - 1) / (any_value(n) - 1) ELSE 0 END, 6) AS closeness FROM hop, n GROUP BY 1")
+@query(f"{with_(*COUPLED, recursive=True)}, {HOP} SELECT s AS node, round(CASE WHEN sum(d) > 0 THEN (count(*) - 1) / sum(d) * (count(*) - 1) / (any_value(n) - 1) ELSE 0 END, 6) AS closeness FROM hop, n GROUP BY 1")
 def graph_closeness(spark, sf):
-    nodes, edges = ad.country_graph(spark, sf)
-    return gr.closeness(nodes, gr.hops(nodes, edges)).withColumn("closeness", F.round("closeness", 6))
+    nodes, edges = ad.coupling_graph(spark, sf)
+    return gr.closeness(nodes, gr.reach(nodes, edges)).withColumn("closeness", F.round("closeness", 6))
+
+
+@query(f"{with_(*COUPLED, recursive=True)}, {HOP}, c AS (SELECT s, min(t) AS component FROM hop GROUP BY 1) SELECT component, count(DISTINCT s) AS n, max(d) AS diameter, CAST(sum(d) // 2 AS BIGINT) AS distances FROM c JOIN hop USING (s) GROUP BY 1")
+def graph_component_diameters(spark, sf):
+    """Of each component: its nodes, its largest distance, and the sum of the distances of its pairs."""
+    nodes, edges = ad.coupling_graph(spark, sf)
+    r = gr.reach(nodes, edges).join(gr.components(nodes, edges), "node").groupBy("component")
+    return r.agg(F.count(F.lit(1)).alias("n"), F.max("farthest").alias("diameter"), F.expr("sum(total) div 2").alias("distances"))
 
 
 def _rank_rounds(k: int) -> str:
@@ -213,7 +223,7 @@ def keyword_graph(items, min_docs: int = 3):
     return co.nodes_of(items, min_docs), co.pairs(items, min_docs)
 
 
-@query(f"""{HOPS}, {DEGREE}, {TRIANGLES}, t AS (SELECT node, count(*) AS t FROM corner GROUP BY 1),
+@query(f"""{R}, {HOP}, {DEGREE}, {TRIANGLES}, t AS (SELECT node, count(*) AS t FROM corner GROUP BY 1),
     cl AS (SELECT avg(CASE WHEN degree >= 2 THEN 2 * coalesce(t, 0) / (degree * (degree - 1)) ELSE 0 END) AS c FROM deg LEFT JOIN t USING (node)),
     co AS (SELECT count(DISTINCT component) AS k FROM (SELECT s, min(t) AS component FROM hop GROUP BY 1)),
     di AS (SELECT CASE WHEN count(*) = any_value(n) * any_value(n) AND any_value(n) > 1 THEN max(d) END AS d FROM hop, n),
@@ -227,7 +237,7 @@ def graph_network_metrics(spark, sf):
     return m.select("n", "m", *[F.round(c, 6).alias(c) for c in ("density", "mean_degree", "clustering")], "components", F.round("modularity", 6).alias("modularity"), "diameter")
 
 
-@query(f"""{HOPS}, {DEGREE}, {BETWEEN}, {_power_rounds(12)}, {_rank_rounds(20)},
+@query(f"""{R}, {HOP}, {DEGREE}, {BETWEEN}, {_power_rounds(12)}, {_rank_rounds(20)},
     cl AS (SELECT s AS node, CASE WHEN sum(d) > 0 THEN (count(*) - 1) / sum(d) * (count(*) - 1) / (any_value(n) - 1) ELSE 0 END AS closeness FROM hop, n GROUP BY 1)
     SELECT node, degree, round(degree / (n - 1), 5) AS centrality, round(betweenness, 5) AS betweenness, round(closeness, 5) AS closeness, round(x, 5) AS eigenvector, round(rank, 5) AS rank
     FROM deg JOIN btw USING (node) JOIN cl USING (node) JOIN x12 USING (node) JOIN r20 USING (node), n""")

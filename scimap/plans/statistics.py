@@ -174,7 +174,13 @@ def delphi_revision(spark, sf):
     return delphi.round_two(_ratings(spark, sf), draw, share=0.25).select("cluster", "rater", "item", "rating")
 
 
-@query()
+@query(f"""WITH {RATINGS}, x AS (SELECT cluster, rater, row_number() OVER (PARTITION BY cluster ORDER BY rater) - 1 AS seat, count(*) OVER (PARTITION BY cluster) AS n FROM (SELECT DISTINCT cluster, rater FROM r)),
+    t AS (SELECT cluster, p AS replicate, CAST('0x' || substr(md5('42:' || cluster || ':' || p || ':' || seat), 1, 8) AS BIGINT) % n AS seat, count(*) AS k FROM x, (SELECT unnest(range(1, 301)) AS p) GROUP BY 1, 2, 3),
+    w AS (SELECT cluster, replicate, rater, k FROM t JOIN x USING (cluster, seat) UNION ALL SELECT cluster, 0, rater, 1 FROM x),
+    i AS (SELECT cluster, replicate, item, sum(k) AS m, sum(k * rating) AS s, sum(k * rating * rating) AS q FROM w JOIN r USING (cluster, rater) GROUP BY 1, 2, 3),
+    g AS (SELECT cluster, replicate, sum(m * q - s * s) AS ins, sum(m * (m - 1) / 2) AS ip, sum(m) AS n, sum(s) AS s, sum(q) AS q FROM i GROUP BY 1, 2),
+    a AS (SELECT cluster, replicate, CASE WHEN coalesce((n * q - s * s) / nullif(n * (n - 1) / 2, 0), 0) = 0 THEN 1 ELSE 1 - coalesce(ins / nullif(ip, 0), 0) / ((n * q - s * s) / (n * (n - 1) / 2)) END AS alpha FROM g)
+    SELECT cluster, round(max(alpha) FILTER (replicate = 0), 6) AS alpha, round(quantile_cont(alpha, 0.025) FILTER (replicate > 0), 6) AS low, round(quantile_cont(alpha, 0.975) FILTER (replicate > 0), 6) AS high FROM a GROUP BY 1""")
 def stat_bootstrap_alpha(spark, sf):
     a = delphi.bootstrap_alpha(_ratings(spark, sf))
     return a.select("cluster", *[F.round(c, 6).alias(c) for c in ("alpha", "low", "high")])

@@ -22,9 +22,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once and kept as Parquet in the shared folder.
+
+    Its size is that of its files. DataFrame.checkpoint() would keep the optimizer's estimate instead, in which each join
+    multiplies the sizes of its sides: in rounds of joins these numbers double their digits from round to round.
+    """
+    path = scratch(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes what checkpointed() has kept of tables that nothing reads any more, as in rounds that are over."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch(spark: SparkSession) -> str:

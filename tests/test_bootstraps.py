@@ -1,11 +1,9 @@
 """Registered bootstraps draw as many replicates as their operators and the reference: 500 and 300."""
 
-import pytest
-
-from pyspark.sql import functions as F
+import hashlib
 
 from scimap.operators import delphi
-from scimap.plans import registry
+from scimap.plans import registry, statistics
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,15 +13,17 @@ def test_stability_has_500_replicates(spark):
     assert rows and {r.n for r in rows} == {500}
 
 
-@pytest.mark.parametrize("name", ["stat_bootstrap_alpha", "delphi_simulation"])
-def test_alpha_has_300_replicates(spark, monkeypatch, name):
-    counts, plain = [], delphi.krippendorff
+def test_alpha_has_300_replicates(spark):
+    rows = delphi.bootstrap_alpha(statistics._ratings(spark, SF)).collect()
+    assert rows and {r.replicates for r in rows} == {300}
 
-    def counted(ratings, by):
-        if "replicate" in by:
-            counts.append(ratings.select(F.max("replicate")).first()[0])
-        return plain(ratings, by)
 
-    monkeypatch.setattr(delphi, "krippendorff", counted)
-    assert registry.QUERIES[name](spark, SF).columns
-    assert counts == [300]
+def test_multiplicities(spark):
+    """Every replicate has as many seats as there are raters, each fixed by its digest."""
+    raters = [("a", f"r{i}") for i in range(7)] + [("b", "alone")]
+    rows = delphi.multiplicities(spark.createDataFrame(raters, "cluster string, rater string"), 20, 5).collect()
+    assert {(r.cluster, r.rater) for r in rows} <= set(raters)
+    for p in range(20):
+        seats = [int(hashlib.md5(f"5:a:{p + 1}:{seat}".encode()).hexdigest()[:8], 16) % 7 for seat in range(7)]
+        assert {r.rater: r.times[p] for r in rows if r.cluster == "a"} == {f"r{i}": seats.count(i) for i in range(7)}
+        assert [r.times[p] for r in rows if r.cluster == "b"] == [1]

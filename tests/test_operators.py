@@ -56,15 +56,13 @@ def test_label_propagation_ends_where_no_node_would_change(spark):
 def test_too_large_a_graph_is_refused(two_triangles):
     with pytest.raises(Exception, match="at most 3"):
         cm.communities(two_triangles, most=3).collect()
-    with pytest.raises(ValueError, match="at most 3"):
-        cm.betweenness(two_triangles, most=3)
 
 
 def test_betweenness_on_a_path(spark):
     e = spark.createDataFrame([("p", "a", "b", 1), ("p", "b", "c", 1), ("p", "c", "d", 1)], "graph string, src string, dst string, weight int")
     got = {r.node: r.betweenness for r in cm.betweenness(e).collect()}
     assert got == pytest.approx({"a": 0, "b": 2 / 3, "c": 2 / 3, "d": 0})
-    again = {r.node: r.betweenness for r in cm.betweenness(e, blocks=3).collect()}
+    again = {r.node: r.betweenness for r in cm.betweenness(e, rows=4).collect()}
     assert again == pytest.approx(got)
 
 
@@ -84,8 +82,8 @@ def test_graph_metrics(spark):
     assert m.density == 0.4 and m.clustering == pytest.approx((1 + 1 + 1 / 3) / 5)
     assert m.modularity == pytest.approx(3 / 7 - (9 / 14) ** 2 + 1 / 7 - (5 / 14) ** 2)
     four = nodes.where("node < 5")
-    assert one(graphs.diameter(four, graphs.hops(four, edges))).diameter == 2
-    close = {r.node: r.closeness for r in graphs.closeness(nodes, graphs.hops(nodes, edges)).collect()}
+    assert one(graphs.diameter(four, graphs.reach(four, edges))).diameter == 2
+    close = {r.node: r.closeness for r in graphs.closeness(nodes, graphs.reach(nodes, edges)).collect()}
     assert close[3] == pytest.approx(3 / 3 * 3 / 4) and close[5] == 0
     ranks = {r.node: r["rank"] for r in graphs.pagerank(nodes, edges).collect()}
     assert sum(ranks.values()) == pytest.approx(1, abs=1e-4) and max(ranks, key=ranks.get) == 3 or ranks[1] > ranks[4]
@@ -109,6 +107,129 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 if i <= 20 else 21 for i in range(n + 1)}
 
 
+def test_components_of_a_hub_and_a_path_of_10000(spark, monkeypatch):
+    """The rounds of large and small stars grow with the logarithm of the size."""
+    rounds, plain = [], graphs.keyed_join
+    monkeypatch.setattr(graphs, "keyed_join", lambda *a: rounds.append(1) or plain(*a))
+    n = 10_000
+    path = spark.range(n - 1).selectExpr("CAST(id * 7919 % 10000 AS INT) AS src", "CAST((id + 1) * 7919 % 10000 AS INT) AS dst")
+    hub = spark.range(1, 5000).selectExpr("CAST(20000 + 2500 AS INT) AS src", "CAST(20000 + id AS INT) AS dst")
+    edges = path.unionByName(hub).withColumn("weight", F.lit(1))
+    nodes = graphs.endpoints(edges).unionByName(spark.createDataFrame([(-5,)], "node int"))
+    rows = graphs.components(nodes, edges).groupBy("component").count().collect()
+    assert {(r.component, r["count"]) for r in rows} == {(0, n), (20001, 4999), (-5, 1)}
+    assert len(rounds) <= 2 * 16
+
+
+def test_reach_in_batches(spark):
+    """Words of sources searched together or one after the other: the same counts, as by a plain search."""
+    r = random.Random(3)
+    pairs = {tuple(sorted(r.sample(range(150), 2))) for _ in range(170)}
+    near = {i: set() for i in range(150)}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    want = {}
+    for s in near:
+        d, level = {s: 0}, [s]
+        while level:
+            level = list({j for i in level for j in near[i]} - set(d))
+            d |= dict.fromkeys(level, max(d.values()) + 1)
+        want[s] = (len(d), sum(d.values()), max(d.values()))
+    edges = spark.createDataFrame([(*p, 1) for p in pairs], "src int, dst int, weight int")
+    nodes = spark.range(150).selectExpr("CAST(id AS INT) AS node")
+    for rows in (1, 1 << 26):
+        got = {x.node: (x.reached, x.total, x.farthest) for x in graphs.reach(nodes, edges, rows).collect()}
+        assert got == want
+
+
+def test_betweenness_of_weighted_graphs(spark):
+    """Against shortest paths counted one by one, with ties, several graphs and few sources at a time."""
+    r = random.Random(4)
+    edges, want = [], {}
+    for g in ("x", "y"):
+        pairs = {tuple(sorted(r.sample("abcdefghi", 2))): r.choice([1, 1, 2, 3]) for _ in range(16)}
+        edges += [(g, a, b, w) for (a, b), w in pairs.items()]
+        names = sorted({n for p in pairs for n in p})
+        near = {n: [(b if a == n else a, w) for (a, b), w in pairs.items() if n in (a, b)] for n in names}
+
+        def paths(s, t):
+            best, found, stack = math.inf, [], [(s, (s,), 0)]
+            while stack:
+                at, path, d = stack.pop()
+                if d > best:
+                    continue
+                if at == t:
+                    best, found = (d, [path]) if d < best else (best, [*found, path])
+                    continue
+                stack += [(j, (*path, j), d + w) for j, w in near[at] if j not in path]
+            return found
+
+        score = dict.fromkeys(names, 0.0)
+        for s in names:
+            for t in names:
+                if s != t and (p := paths(s, t)):
+                    for n in names:
+                        if n not in (s, t):
+                            score[n] += sum(n in x for x in p) / len(p)
+        want |= {(g, n): x / ((len(names) - 1) * (len(names) - 2)) for n, x in score.items()}
+    e = spark.createDataFrame(edges, "graph string, src string, dst string, weight int")
+    for rows in (30, 1 << 26):
+        got = {(x.graph, x.node): x.betweenness for x in cm.betweenness(e, rows).collect()}
+        assert got == pytest.approx(want)
+    with pytest.raises(ValueError, match="positive"):
+        cm.betweenness(e.withColumn("weight", F.lit(0)))
+
+
+def test_rater_pairs_by_bits(spark):
+    """More than 64 items, several blocks, missing ratings, raters without common items: as by plain counts."""
+    r = random.Random(6)
+    rows = [(c, f"r{i}", k, r.randint(1, 5)) for c in "ab" for i in range(9) for k in range(150) if r.random() < 0.4 and (i != 8 or k < 0)]
+    rows += [("a", "apart", 999, 5), ("b", "r1", 3, None)]
+    df = spark.createDataFrame(rows, "cluster string, rater string, item int, rating int")
+    given = {}
+    for c, i, k, x in rows:
+        if x is not None:
+            given.setdefault((c, i), {})[k] = x >= 4
+    want = {}
+    for c, a in given:
+        for d, b in given:
+            both = given[c, a].keys() & given[d, b].keys()
+            if c == d and a < b and both:
+                n = len(both)
+                po = sum(given[c, a][k] == given[c, b][k] for k in both) / n
+                pa, pb = (sum(given[c, i][k] for k in both) / n for i in (a, b))
+                pe = pa * pb + (1 - pa) * (1 - pb)
+                want[c, a, b] = (n, 1.0 if pe >= 1 else (po - pe) / (1 - pe))
+    for block in (2, 256):
+        got = {(x.cluster, x.rater_a, x.rater_b): (x.n, x.kappa) for x in ag.rater_pairs(df, ["cluster"], block=block).collect()}
+        assert got.keys() == want.keys()
+        assert not [(k, got[k], want[k]) for k in want if got[k] != pytest.approx(want[k])]
+        s = {x.cluster: x for x in ag.rater_pair_summary(df, ["cluster"], block=block).collect()}
+        for c in "ab":
+            k = [v for (d, *_), (_, v) in want.items() if d == c]
+            assert (s[c].n_pairs, s[c].mean, s[c].least, s[c].most) == pytest.approx((len(k), sum(k) / len(k), min(k), max(k)))
+
+
+def test_kendall_by_ranges(spark):
+    """Groups of any size: as by all pairs; no window has a whole group."""
+    r = random.Random(7)
+    rows = [(g, r.randint(0, 30), r.randint(0, 9)) for g in ("a", "b", "b", "b") for _ in range(60)] + [("c", 1, 1)]
+    df = spark.createDataFrame(rows, "g string, x int, y int")
+    got = {x.g: x.tau for x in ag.kendall(df, ["g"]).collect()}
+    for g in "abc":
+        own = [(x, y) for h, x, y in rows if h == g]
+        sign = lambda v: (v > 0) - (v < 0)
+        pairs = [(sign(a[0] - b[0]), sign(a[1] - b[1])) for i, a in enumerate(own) for b in own[:i]]
+        root = math.sqrt(sum(x != 0 for x, _ in pairs) * sum(y != 0 for _, y in pairs))
+        assert got[g] == pytest.approx(sum(x * y for x, y in pairs) / root if root else 0)
+    plan = ag.mean_ranks(df, "x", "rx", ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    import re
+
+    windows = re.findall(r"Window \[[^\n]*", plan)
+    assert all("_part#" in w or "_p#" in w for w in windows)
+
+
 def test_adjusted_rand(spark):
     def ari(a, b):
         return one(ag.adjusted_rand(spark.createDataFrame(list(zip(a, b, strict=True)), "a int, b int"))).ari
