@@ -27,7 +27,9 @@ def lines_of(text: Column) -> Column:
 
 def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(h1, h2, id, pos, text_hash) for each line with a key, as a written table: texts are split once."""
-    line = docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("text_hash"), F.posexplode(lines_of(col(text_col))).alias("pos", "line"))
+    # hashed and split below the generator: above it, a text would be hashed again for each of its lines
+    text = docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("text_hash"), lines_of(col(text_col)).alias("lines"))
+    line = text.select("id", "text_hash", F.posexplode("lines").alias("pos", "line"))
     key = ascii_lower(F.btrim("line", F.lit(SPACE)))
     line = line.withColumn("key", key).where(F.col("key") != "")
     return written(line.select(F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), "id", "pos", "text_hash"))
