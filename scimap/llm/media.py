@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scimap.llm.common import shared_dir, written
+from scimap.llm.common import col, shared_dir, written
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -113,7 +113,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
                 out.close()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_bytes bigint, digest string, shard string, offset bigint, length bigint")
+    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes bigint, digest string, shard string, offset bigint, length bigint")
     return written(rows.withColumn("shard", F.concat(F.lit(folder + "/"), "shard")))
 
 
@@ -174,7 +174,11 @@ def read_back(where: DataFrame) -> DataFrame:
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """store(), then metadata() and read_back() of one place a digest, joined to all rows: a row for each of docs."""
+    """store(), then metadata() and read_back() of one place a digest, joined to all rows: a row for each of docs.
+
+    Null and empty texts have a payload of 64 bytes 0; null ids stay null, repeated rows stay; an empty table gives no
+    rows. Other columns are not read.
+    """
     rows = store(docs, id_col, text_col)
     where = written(places(rows))
     return rows.select("id", "n_bytes", "digest").join(where, "digest").join(metadata(where), "digest").join(read_back(where), "digest")
