@@ -76,15 +76,10 @@ def right_sized(df: DataFrame) -> DataFrame:
     return in_files(df, 4)
 
 
-#: Files of at most so many bytes are broadcast where texts are joined to them.
-BROADCAST = 8 << 20
-
-
 def meet(texts: DataFrame, small: DataFrame, on: Column, how: str = "inner") -> DataFrame:
-    """texts joined to a written table of small rows: broadcast if its files have BROADCAST bytes at most; else both
-    sides are dealt by key, and the small one is hashed, so that texts are never sorted."""
-    size = input_bytes(small)
-    return texts.join(F.broadcast(small) if size is not None and size <= BROADCAST else small.hint("shuffle_hash"), on, how)
+    """texts joined to a table of small rows, at every size alike: both sides are dealt by key, and the small one is
+    hashed, so that texts are never sorted."""
+    return texts.join(small.hint("shuffle_hash"), on, how)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

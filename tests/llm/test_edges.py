@@ -1,5 +1,7 @@
 """Nulls in any column, empty and very long texts, repeated rows, empty tables and clashing column names, for every operator."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +73,41 @@ def test_lines(docs, wide):
     assert line_dedup.dedup_lines(empty(docs)).count() == 0
 
 
+def test_a_document_of_many_lines(spark):
+    """The work of a document grows with its length: a text is hashed and split once, not once a line."""
+    lines = [f"line {i % 300_000}" if i % 3 else "" for i in range(1_000_000)]
+    rows = [(1, "\n".join(lines)), (2, "line 1\nline 4\nmine"), (3, "line 1")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    begin = time.monotonic()
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs, min_docs=2).collect()}
+    assert time.monotonic() - begin < 60
+    gone = {"line 1", "line 4"}
+    kept = [x for x in lines if x not in gone]
+    assert got[1].n_lines == 1_000_000 and got[1].n_dropped == 1_000_000 - len(kept) > 2 and got[1].kept_text == "\n".join(kept)
+    assert (got[2].kept_text, got[2].n_dropped, got[3].kept_text, got[3].n_dropped) == ("mine", 2, "", 1)
+
+
+@pytest.fixture(scope="module")
+def dotted(docs):
+    return docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHES) if c not in ("a.b", "id", "ids", "shard", "label")]).withColumnsRenamed({"doc_id": "an.id", "text": "a.text", "source": "a.source"})
+
+
+def test_columns_with_dots(dotted, docs):
+    """Names with dots, and columns that clash with operators' own: the same results as under plain names."""
+    pairs = [
+        (media.media_columns(dotted, "an.id", "a.text").select("id", "n_bytes", "payload_sha256"), media.media_columns(docs).select("id", "n_bytes", "payload_sha256")),
+        (substring.remove_repeats(dotted, "an.id", "a.text").select("id", "n_words", "n_removed"), substring.remove_repeats(docs).select("id", "n_words", "n_removed")),
+        (lm.score(dotted, "an.id", "a.text").select("id", "n_tokens", "base_score"), lm.score(docs).select("id", "n_tokens", "base_score")),
+        (simhash.assign(dotted, "an.id", "a.text").select("id", "component_id"), simhash.assign(docs).select("id", "component_id")),
+        (mixing.mix(dotted, "an.id", "a.text", "a.source").select("id", "taken"), mixing.mix(docs).select("id", "taken")),
+        (search.similar(dotted, "an.id", "a.text", every=1, k=3), search.similar(docs, every=1, k=3)),
+        (line_dedup.dedup_lines(dotted, "an.id", "a.text", 2).select("`an.id`", "n_dropped_"), line_dedup.dedup_lines(docs, min_docs=2).select("doc_id", "n_dropped")),
+        (bpe.encode(dotted, "a.text").select("`an.id`", "n_tokens_"), bpe.encode(docs).select("doc_id", "n_tokens")),
+    ]
+    for a, b in pairs:
+        assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+
+
 def test_simhash(docs, wide):
     rows = simhash.assign(docs).collect()
     assert len(rows) == len(ROWS)
