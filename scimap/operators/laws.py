@@ -159,7 +159,7 @@ def _fit(model, t: np.ndarray, y: np.ndarray, start: list[float], low: list[floa
 
 
 def growth_models(series: DataFrame, by: str = "corpus") -> DataFrame:
-    """(corpus, model, r_squared, aic, bic, asymptote, best) of the cumulative series (corpus, year, n): a row for each model.
+    """(corpus, model, r_squared, aic, bic, asymptote, best, params) of the cumulative series (corpus, year, n): a row for each model.
 
     Models: linear, exponential, gompertz and bilogistic; best is the one of least AIC. A corpus's series has a value
     for each year, so a group is small whatever the number of documents; corpora are fitted in parallel. Corpora of
@@ -167,7 +167,7 @@ def growth_models(series: DataFrame, by: str = "corpus") -> DataFrame:
     """
 
     def typed(rows: list[tuple]) -> pd.DataFrame:
-        kinds = {"corpus": object, "model": object, "r_squared": float, "aic": float, "bic": float, "asymptote": float, "best": bool}
+        kinds = {"corpus": object, "model": object, "r_squared": float, "aic": float, "bic": float, "asymptote": float, "params": object, "best": bool}
         return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=k) for i, (c, k) in enumerate(kinds.items())})
 
     def models(group: pd.DataFrame) -> pd.DataFrame:
@@ -178,7 +178,7 @@ def growth_models(series: DataFrame, by: str = "corpus") -> DataFrame:
         t = (g["year"] - g["year"].min()).to_numpy(float)
         n, last, span = len(t), y[-1], t.max()
         line = np.polyfit(t, y, 1)
-        found = [("linear", 2, float(np.sum((np.polyval(line, t) - y) ** 2)), None)]
+        found = [("linear", 2, float(np.sum((np.polyval(line, t) - y) ** 2)), None, line)]
 
         def exponential(x, a, b):
             return a * np.exp(np.clip(b * x, -50, 50))
@@ -190,23 +190,48 @@ def growth_models(series: DataFrame, by: str = "corpus") -> DataFrame:
             return sum(size / (1 + np.exp(-np.clip(k * (x - mid), -50, 50))) for size, k, mid in ((l1, k1, t1), (l2, k2, t2)))
 
         tries = [_fit(exponential, t, y, s, [-np.inf] * 2, [np.inf] * 2) for s in ([1.0, 0.1], [max(y[0], 1.0), math.log(max(last / max(y[0], 1.0), 1.01)) / span])]
-        found.append(("exponential", 2, min(x[1] for x in tries), None))
+        p, ss = min(tries, key=lambda x: x[1])
+        found.append(("exponential", 2, ss, None, p))
         tries = [_fit(gompertz, t, y, s, [last, 0.1, 0.01], [last * 100, 50, 5]) for s in ([max(last * 1.5, 100), 5, 0.2], [last * 1.1, 3, 0.5], [last * 5, 6, 0.08])]
         p, ss = min(tries, key=lambda x: x[1])
-        found.append(("gompertz", 3, ss, float(p[0])))
+        found.append(("gompertz", 3, ss, float(p[0]), p))
         starts = [[last * a, 0.4, span * b, last * (1 - a), 0.4, span * c] for a, b, c in ((0.5, 0.45, 0.85), (0.3, 0.3, 0.7), (0.7, 0.5, 0.95))]
         tries = [_fit(bilogistic, t, y, s, [0, 0.01, 0] * 2, [last * 5, 5, span * 1.5] * 2) for s in starts]
         p, ss = min(tries, key=lambda x: x[1])
-        found.append(("bilogistic", 6, ss, float(p[0] + p[3])))
+        found.append(("bilogistic", 6, ss, float(p[0] + p[3]), p))
         around = float(np.sum((y - y.mean()) ** 2))
         rows = []
-        for name, k, ss, top in found:
+        for name, k, ss, top, p in found:
             good = ss > 0 and n > k + 1
             base = n * math.log(ss / n) if good else None
-            rows.append((str(group[by].iloc[0]), name, 1 - ss / around if around > 0 else 0.0, base + 2 * (k + 1) if good else None, base + (k + 1) * math.log(n) if good else None, top))
+            rows.append((str(group[by].iloc[0]), name, 1 - ss / around if around > 0 else 0.0, base + 2 * (k + 1) if good else None, base + (k + 1) * math.log(n) if good else None, top, [float(x) for x in p]))
         least = min((r[3] for r in rows if r[3] is not None), default=None)
         first = next((r[1] for r in rows if r[3] is not None and r[3] == least), None)
         return typed([(*r, r[1] == first) for r in rows])
 
-    schema = "corpus string, model string, r_squared double, aic double, bic double, asymptote double, best boolean"
+    schema = "corpus string, model string, r_squared double, aic double, bic double, asymptote double, params array<double>, best boolean"
     return series.groupBy(by).applyInPandas(models, schema)
+
+
+def growth_curves(models: DataFrame, series: DataFrame, by: str = "corpus", points: int = 80, ahead: int = 5) -> DataFrame:
+    """(corpus, model, i, x, y): growth_models()' curves at `points` evenly spaced years, from the series' first to `ahead` after its last."""
+    span = series.where("year IS NOT NULL").groupBy(F.col(by).cast("string").alias("corpus")).agg(F.min("year").alias("_first"), (F.max("year") - F.min("year") + ahead).alias("_span"))
+    d = models.join(span, "corpus").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    t, p = F.col("_span") * F.col("i") / max(1, points - 1), lambda k: F.col("params")[k]
+    held = lambda x: F.greatest(F.lit(-50.0), F.least(F.lit(50.0), x))
+    step = lambda k: p(k) / (1 + F.exp(-held(p(k + 1) * (t - p(k + 2)))))
+    y = (
+        F.when(F.col("model") == "linear", p(0) * t + p(1))
+        .when(F.col("model") == "exponential", p(0) * F.exp(held(p(1) * t)))
+        .when(F.col("model") == "gompertz", p(0) * F.exp(-p(1) * F.exp(-p(2) * t)))
+        .when(F.col("model") == "bilogistic", step(0) + step(3))
+    )
+    return d.select("corpus", "model", "i", (F.col("_first") + t).alias("x"), y.alias("y"))
+
+
+def lotka_line(fit: DataFrame, counts: DataFrame, points: int = 60) -> DataFrame:
+    """(i, x, y): the fitted law (alpha, c) at evenly spaced logarithms from 1 to the largest n_items of productivity()."""
+    d = fit.select("alpha", "c").crossJoin(counts.agg(F.max("n_items").alias("_most")))  # one row each
+    d = d.where("_most IS NOT NULL").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    x = F.exp(F.ln("_most") * F.col("i") / max(1, points - 1))
+    return d.select("i", x.alias("x"), (F.col("c") * F.pow(x, -F.col("alpha"))).alias("y"))

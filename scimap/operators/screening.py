@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scimap.functions import lexicons as lex
@@ -86,7 +86,16 @@ def family_by_year(presence: DataFrame) -> DataFrame:
     return presence.where("in_abstract AND year IS NOT NULL").groupBy("family", "year").agg(F.count(F.lit(1)).alias("n"))
 
 
+def mentioned(text: Column, platforms: list[str], patterns: dict[str, str] | None = None) -> Column:
+    """The platforms (in lower case) that a text in lower case mentions."""
+    return F.array_compact(F.array(*[F.when(text.rlike(platform_pattern(p, patterns)), F.lit(p.lower())) for p in platforms]))
+
+
 def platform_mentions(texts: DataFrame, platforms: list[str] = lex.PLATFORMS, patterns: dict[str, str] | None = None) -> DataFrame:
-    """texts' rows once for each platform that their text (lower case) mentions, with column platform: one scan for all."""
-    found = F.array_compact(F.array(*[F.when(F.col("text").rlike(platform_pattern(p, patterns)), F.lit(p.lower())) for p in platforms]))
-    return texts.withColumn("platform", F.explode(found))
+    """texts' rows once for each platform that their text (lower case) mentions, with column platform: one scan for all.
+
+    A lambda's argument is evaluated once, however many patterns look at it; an outer explode() keeps the optimizer from
+    searching the text a second time, in a filter for texts that mention none.
+    """
+    found = F.transform(F.array("text"), lambda t: mentioned(t, platforms, patterns))[0]
+    return texts.withColumn("platform", F.explode_outer(found)).where("platform IS NOT NULL")

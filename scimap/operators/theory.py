@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scimap.functions import lexicons as lex
 from scimap.functions.text import joined_text, n_contained
 from scimap.operators.agreement import spearman
-from scimap.operators.screening import platform_mentions
+from scimap.operators.screening import mentioned
 
 
 def document_text(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -24,11 +24,18 @@ def platform_scores(texts: DataFrame, platforms: list[str] = lex.PLATFORMS, attr
     """
     attributes = lex.ADOPTION_ATTRIBUTES if attributes is None else attributes
     constructs = lex.ACCEPTANCE_CONSTRUCTS if constructs is None else constructs
-    share = {n: n_contained(F.col("text"), t) / max(1, len(t)) for n, t in (attributes | constructs).items()}
-    rows = platform_mentions(texts.select("*", *[x.alias(f"_{n}") for n, x in share.items()]), platforms, patterns)
+    terms = attributes | constructs
+
+    def scored(text: Column) -> Column:
+        """The platforms of a text, and only if there are any the shares of terms: each is evaluated once."""
+        shares = F.struct(*[(n_contained(text, t) / max(1, len(t))).alias(n) for n, t in terms.items()])
+        return F.transform(F.array(mentioned(text, platforms, patterns)), lambda p: F.struct(p.alias("platforms"), F.when(F.size(p) > 0, shares).alias("shares")))[0]
+
+    rows = texts.select("year", "cited_by", F.transform(F.array("text"), scored)[0].alias("_x"))
+    rows = rows.select("year", "cited_by", "_x.shares", F.explode_outer("_x.platforms").alias("platform")).where("platform IS NOT NULL")
     g = rows.groupBy("platform").agg(
         F.count(F.lit(1)).alias("n_docs"),
-        *[F.avg(f"_{n}").alias(n) for n in share],
+        *[F.avg(F.col("shares")[n]).alias(n) for n in terms],
         F.avg("year").alias("mean_year"),
         F.avg("cited_by").alias("mean_citations"),
     )

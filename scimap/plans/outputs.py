@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scimap.operators import chat, figures, theory, trends
+from scimap.operators import chat, figures, laws, theory, trends
 from scimap.operators import cooccurrence as co
 from scimap.operators import frequency as fr
 from scimap.operators import graphs as gr
@@ -17,7 +17,7 @@ from scimap.plans.graph_queries import CALLON, DEGREE
 from scimap.plans.texts import CLUSTERS, agg_theme_counts, chat_categories
 from scimap.plans.texts import chat_cluster_insights as insights_query
 from scimap.sources import corpus as src
-from scimap.sources import networks, sinks, transcripts
+from scimap.sources import documents, files, networks, sinks, transcripts
 from scimap.sources.stores import scratch
 from scimap.sources.tables import table
 
@@ -365,3 +365,55 @@ def fig_cluster_heatmap(spark, sf):
 @query("WITH c AS (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1) SELECT CAST(k AS BIGINT) AS n_items, count(*) AS n FROM c GROUP BY 1")
 def fig_lotka_points(spark, sf):
     return fr.productivity(table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("item")))
+
+
+@query(f"""{G}, {DEGREE}, t AS (SELECT s_name AS item, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1 ORDER BY n DESC, item LIMIT 20)
+    SELECT 'countries' AS name, node, degree, strength, NULL AS item, NULL AS n FROM deg UNION ALL SELECT 'authors', NULL, NULL, NULL, item, n FROM t""")
+def src_processed_json(spark, sf):
+    """Two reports whose parts have other columns, written as JSON files and read again as one table."""
+    degrees = gr.degrees(*ad.country_graph(spark, sf)).select("node", "degree", "strength", "centrality")
+    authors = fr.top(fr.document_frequency(ad.authors(spark, sf)), 20, F.col("n").desc(), F.col("item"))
+    path = sinks.write_reports(scratch(spark), {"countries": {"nodes": degrees, "about": authors.agg(F.max("n").alias("most"))}, "authors": {"nodes": authors}})
+    return files.report_part(files.read_reports(spark, path), "nodes", "node string, degree bigint, strength bigint, item string, n bigint")
+
+
+@query(f"""{G}, {DEGREE} SELECT line FROM (SELECT replace(node, '_', '\\_') || ' & ' || degree || ' & ' || strength || ' & ' || printf('%.2f', degree / ((SELECT count(*) FROM nodes) - 1)) || ' \\\\' AS line FROM deg
+    UNION ALL SELECT unnest(['\\begin{{table}}[htbp]', '\\centering', '\\caption{{Countries}}', '\\label{{tab:countries}}', '\\begin{{tabular}}{{lrrr}}', '\\toprule', 'node & degree & strength & centrality \\\\', '\\midrule', '\\bottomrule', '\\end{{tabular}}', '\\end{{table}}']))""")
+def snk_latex(spark, sf):
+    """Metrics of nodes as a LaTeX table that tasks write, and its lines read again."""
+    documents.register(spark)
+    path = f"{scratch(spark)}.tex"
+    degrees = gr.degrees(*ad.country_graph(spark, sf)).select("node", "degree", "strength", "centrality")
+    degrees.write.format("latex").options(caption="Countries", label="tab:countries").mode("overwrite").save(path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query("""SELECT unnest(['# Nations by region', '']) AS line UNION ALL SELECT unnest(['## ' || r_regionkey || '. ' || r_name, '', '']) FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION ALL SELECT '- ' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def snk_markdown(spark, sf):
+    """Lists under headings as a Markdown file that tasks write, and its lines read again."""
+    documents.register(spark)
+    path = f"{scratch(spark)}.md"
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    lists = n.join(r, n["n_regionkey"] == r["r_regionkey"]).groupBy(F.col("r_regionkey").alias("section"), F.col("r_name").alias("topic")).agg(F.sort_array(F.collect_list("n_name")).alias("points"))
+    lists.orderBy("section").write.format("markdown").option("title", "Nations by region").mode("overwrite").save(path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query("""WITH e AS (SELECT event_type AS corpus, dayofyear(ts) AS year, count(*) AS n FROM events GROUP BY 1, 2),
+    s AS (SELECT corpus, CAST(year - min(year) OVER (PARTITION BY corpus) AS DOUBLE) AS t, CAST(sum(n) OVER (PARTITION BY corpus ORDER BY year) AS DOUBLE) AS y, year FROM e),
+    g AS (SELECT corpus, regr_slope(y, t) AS a, regr_intercept(y, t) AS b, min(year) AS first, max(year) - min(year) + 5 AS span FROM s GROUP BY 1 HAVING count(*) >= 4)
+    SELECT corpus, CAST(i AS INTEGER) AS i, round(first + span * i / 79, 6) AS x, round(a * (span * i / 79) + b, 3) AS y FROM g, (SELECT unnest(range(80)) AS i)""")
+def fig_growth_line(spark, sf):
+    """The fitted line of each corpus of daily events, at 80 places to 5 beyond its last day."""
+    e = table(spark, sf, "events").groupBy(F.col("event_type").alias("corpus"), F.dayofyear("ts").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    c = laws.growth_curves(laws.growth_models(e).where("model = 'linear'"), e)
+    return c.select("corpus", "i", F.round("x", 6).alias("x"), F.round("y", 3).alias("y"))
+
+
+@query("""WITH c AS (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1), f AS (SELECT k, count(*) AS n FROM c GROUP BY 1),
+    g AS (SELECT -regr_slope(ln(n), ln(k)) AS alpha, exp(regr_intercept(ln(n), ln(k))) AS c, max(k) AS most FROM f)
+    SELECT CAST(i AS INTEGER) AS i, round(exp(ln(most) * i / 59), 6) AS x, round(c * pow(exp(ln(most) * i / 59), -alpha), 4) AS y FROM g, (SELECT unnest(range(60)) AS i)""")
+def fig_lotka_line(spark, sf):
+    """The fitted law of productivity, at 60 places evenly spaced by logarithm."""
+    d = fr.productivity(table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").cast("string").alias("item")))
+    return laws.lotka_line(laws.lotka(d), d).select("i", F.round("x", 6).alias("x"), F.round("y", 4).alias("y"))

@@ -29,6 +29,32 @@ def write_report(path: str, parts: dict[str, DataFrame | dict | list | str]) ->
     return path
 
 
+def write_reports(path: str, reports: dict[str, dict[str, DataFrame]], most: int = MOST) -> str:
+    """A folder with a JSON file for each report: an object with the rows of each DataFrame, as a list in their order.
+
+    Written by Spark, in any store; a part's rows are gathered in one task, and refused if there are more than `most`.
+    """
+    for name, parts in reports.items():
+        row = None
+        for key, df in parts.items():
+            some = df.limit(most + 1).agg(F.collect_list(F.struct(*df.columns)).alias("rows"))
+            some = some.select(F.when(F.size("rows") <= most, F.col("rows")).otherwise(F.raise_error(F.lit(f"more than {most} rows: write the DataFrame as a table"))).alias(key))
+            row = some if row is None else row.crossJoin(some)  # one row each
+        row.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/_{name}")
+        _one_file(row.sparkSession, f"{path}/_{name}", f"{path}/{name}.json")
+    return path
+
+
+def _one_file(spark, folder: str, path: str) -> None:
+    """Moves the one part file of a folder that Spark has written to path, and deletes the folder."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    files = jvm.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    (part,) = [f.getPath() for f in files.globStatus(jvm.Path(f"{folder}/part-*"))]
+    files.delete(jvm.Path(path), True)
+    files.rename(part, jvm.Path(path))
+    files.delete(jvm.Path(folder), True)
+
+
 def write_csv(df: DataFrame, path: str) -> str:
     """One CSV file with a header; numbers and dates as Spark prints them."""
     import csv
