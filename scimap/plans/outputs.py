@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scimap.operators import chat, figures, laws, theory, trends
+from scimap.operators import chat, figures, laws, layout, theory, trends
 from scimap.operators import cooccurrence as co
 from scimap.operators import frequency as fr
 from scimap.operators import graphs as gr
@@ -13,12 +13,12 @@ from scimap.plans import reports
 from scimap.plans.adapter import COUPLED, GRAPH, with_
 from scimap.plans.base import ORACLES, query
 from scimap.plans.counts import BRADFORD, ITEM_YEARS, _flow_sql, _keyword_years, _zones
-from scimap.plans.graph_queries import CALLON, DEGREE
+from scimap.plans.graph_queries import CALLON, DEGREE, keyword_graph
 from scimap.plans.texts import CLUSTERS, agg_theme_counts, chat_categories
 from scimap.plans.texts import chat_cluster_insights as insights_query
 from scimap.sources import corpus as src
 from scimap.sources import documents, files, networks, sinks, transcripts
-from scimap.sources.stores import scratch
+from scimap.sources.stores import checkpointed, scratch
 from scimap.sources.tables import table
 
 G = with_(*GRAPH)
@@ -417,3 +417,12 @@ def fig_lotka_line(spark, sf):
     """The fitted law of productivity, at 60 places evenly spaced by logarithm."""
     d = fr.productivity(table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").cast("string").alias("item")))
     return laws.lotka_line(laws.lotka(d), d).select("i", F.round("x", 6).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query()
+def fig_spring_layout(spark, sf):
+    """Places and shown labels of the keywords that are in 3 documents or more; tests hold its rounds against plain loops."""
+    nodes, edges = map(checkpointed, keyword_graph(ad.keywords(spark, sf)))
+    places = layout.spring(nodes, edges, rounds=10)
+    d = layout.shown_labels(places.join(nodes.select("node", "n"), "node"))
+    return d.select("node", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "shown")
