@@ -87,8 +87,15 @@ def family_by_year(presence: DataFrame) -> DataFrame:
 
 
 def mentioned(text: Column, platforms: list[str], patterns: dict[str, str] | None = None) -> Column:
-    """The platforms (in lower case) that a text in lower case mentions."""
-    return F.array_compact(F.array(*[F.when(text.rlike(platform_pattern(p, patterns)), F.lit(p.lower())) for p in platforms]))
+    """The platforms (in lower case) that a text in lower case mentions. Patterns made of a name are tried where the name is."""
+    own = lex.PLATFORM_PATTERNS if patterns is None else patterns
+
+    def found(name: str) -> Column:
+        hit = text.rlike(platform_pattern(name, patterns))
+        name = name.lower().strip()
+        return hit if name in own else text.contains(name) & hit
+
+    return F.array_compact(F.array(*[F.when(found(p), F.lit(p.lower())) for p in platforms]))
 
 
 def platform_mentions(texts: DataFrame, platforms: list[str] = lex.PLATFORMS, patterns: dict[str, str] | None = None) -> DataFrame:
