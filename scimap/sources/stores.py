@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Names the folder of this driver's run.
+RUN = uuid.uuid4().hex
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder that the driver and all executors share; where none is set and all runs on this machine (as
@@ -42,5 +45,11 @@ def released(*tables: DataFrame) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/scimap-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses: in the folder of this run."""
+    return f"{shared_dir(spark)}/scimap-{RUN}/{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this run has kept in the shared folder. Results that read it must have been written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/scimap-{RUN}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -118,3 +118,15 @@ def test_scores_of_texts_without_a_platform_are_not_computed(spark):
     got = {r.platform: (r.n_docs, r.a, r.perceived_usefulness, r.mean_year, r.mean_citations, r.total) for r in rows}
     assert got == {"moodle": (1, 0.5, 1.0, 2001, 3, 0.5), "canvas": (2, 0.25, 0.5, 2003, 5, 0.25)}
     assert sorted((r.doc_id, r.platform) for r in screening.platform_mentions(texts, ["moodle", "Canvas"], {}).collect()) == [(1, "canvas"), (1, "moodle"), (4, "canvas")]
+
+
+def test_a_run_is_cleaned(spark, monkeypatch):
+    import os
+
+    from scimap.sources import stores
+
+    monkeypatch.setattr(stores, "RUN", "of-a-test")
+    df = stores.checkpointed(spark.range(10))
+    assert df.count() == 10 and os.path.isdir(f"{stores.shared_dir(spark)}/scimap-of-a-test".removeprefix("file:"))
+    stores.clean(spark)
+    assert not os.path.exists(f"{stores.shared_dir(spark)}/scimap-of-a-test".removeprefix("file:"))
