@@ -22,7 +22,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scimap.llm.common import col, shared_dir, written
+from scimap.llm.common import col, written
+from scimap.sources.stores import scratch
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -75,7 +76,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     table writes no shard and gives no rows.
     """
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/scimap-tar-{uuid.uuid4().hex}"
+    folder = scratch(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = fs.FileSystem.from_uri(folder)
