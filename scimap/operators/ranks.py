@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scimap.sources.stores import checkpointed
+from scimap.sources.stores import shared_dir
 
 
 def running(df: DataFrame, order: list[Column], value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -19,7 +19,9 @@ def running(df: DataFrame, order: list[Column], value: str, by: Sequence[str] =
     added: counts and sums of the group's other partitions, of which there are as many as shuffle partitions at most.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = checkpointed(df.repartitionByRange(n, *[F.col(c) for c in by], *order).withColumn("_part", F.spark_partition_id()))
+    shared_dir(df.sparkSession)
+    # a checkpoint, not a file read again: order may have columns of df itself
+    d = df.repartitionByRange(n, *[F.col(c) for c in by], *order).withColumn("_part", F.spark_partition_id()).checkpoint()
     keys = [F.col(c).alias(f"_by{k}") for k, c in enumerate(by)]
     parts = d.groupBy(F.col("_part").alias("_p"), *keys).agg(F.count(F.lit(1)).alias("_rows_before"), F.sum(value).alias("_sum_before"))
     group = [f"_by{k}" for k in range(len(by))]
@@ -42,7 +44,7 @@ def running(df: DataFrame, order: list[Column], value: str, by: Sequence[str] =
 
 
 def keyed_join(rows: DataFrame, per_key: DataFrame, key: str, count: str, share: int = 1024) -> DataFrame:
-    """rows joined to per_key (one row a key, checkpointed) by key. count: a column of per_key, the key's rows.
+    """rows joined to per_key (one row a key, computed already) by key. count: a column of per_key, the key's rows.
 
     Keys with more than 1 / share of all rows, fewer than `share` of them, are broadcast, so that their rows stay where
     they are; the rows of the others are dealt by key.
