@@ -53,10 +53,24 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mos
     return s.select("key", "source_size", "_all", F.least(F.col("_cap"), level * F.col("weight")).alias("target"))
 
 
+#: Equal rows that go to one shard together.
+ALIKE = 256
+
+
+def counted(d: DataFrame) -> DataFrame:
+    """d's distinct rows in blocks of at most ALIKE equal ones: _block is the block's number, _alike how many it has.
+
+    Equal rows are counted by partial aggregates first, so that no group of copies is one task's.
+    """
+    rows = d.groupBy(*d.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    rows = rows.withColumn("_block", F.explode(F.expr(f"sequence(0L, (_copies - 1) div {ALIKE})")))
+    return rows.withColumn("_alike", F.expr(f"least({ALIKE}L, _copies - _block * {ALIKE})")).drop("_copies")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: int = 3, block_words: int = 16, shard_words: int = 1 << 19, most_shards: int = 1 << 16, seed: int = 7) -> DataFrame:
     """docs' ids and sizes with what the mix takes: id, size, source_size, target, taken, source key, text hash and times.
 
-    Sizes are words. Each source's documents are dealt by hash to shards of about shard_words words (of more, if these
+    Sizes are words. Each source's documents are dealt by hash, equal rows in blocks, to shards of about shard_words words (of more, if these
     were more than most_shards: the shards of a source are apportioned together); in a shard, in seeded order, they are
     a stream cut into blocks of block_words words (the last may be shorter). Highest quotients
     give each source a number of blocks by its target, and of these each shard its quota by its size. A shard takes
@@ -68,7 +82,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     are in no block; their times are 1. Texts are read once: then only ids, sizes and hashes are written and move.
 
     Null texts have size 0, null sources are a source of their own, null ids and repeated rows are documents like any
-    other. An empty table gives no rows. If all sizes are 0, all targets are 0.
+    other; equal rows need not be taken alike. An empty table gives no rows. If all sizes are 0, all targets are 0.
     """
     d = docs.select(col(id_col).alias("id"), col(source_col).alias("source"), count_words(col(text_col)).alias("size"), F.xxhash64(col(text_col)).alias("text_hash"))
     d = written(d)
@@ -76,8 +90,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = sources.withColumn("_one", F.lit(1)).withColumn("_seats", F.round(F.col("_all") / block_words).cast("long"))
     sources = apportion(sources, ["_one"], "target", "_seats", "blocks")
     sources = sources.withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(most_shards), F.ceil(F.col("source_size") / shard_words))).cast("long"))
-    d = d.join(sources.drop("_one", "_seats", "_all"), F.col("source").eqNullSafe(F.col("key"))).drop("key")
-    d = d.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id", "text_hash"), F.col("shards")))
+    d = counted(d).join(sources.drop("_one", "_seats", "_all"), F.col("source").eqNullSafe(F.col("key"))).drop("key")
+    d = d.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id", "text_hash") + F.col("_block"), F.col("shards")))
+    # blocks of equal rows are rows again only where their shard is
+    d = d.repartition("source", "shard").withColumn("_copy", F.explode(F.expr("sequence(1L, _alike)"))).drop("_block", "_alike", "_copy")
     cell = Window.partitionBy("source", "shard")
     stream = cell.orderBy("order", "id", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = d.groupBy("source", F.col("shard").alias("key")).agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))

@@ -121,6 +121,20 @@ def test_mix_takes_quotas_and_whole_documents_near_them(spark):
     assert copies == Counter({r.id: r.times for r in mixed if r.times})
 
 
+def test_mix_deals_equal_rows_over_shards(spark):
+    """2000 rows of one id and text are in many shards, come near their source's target, and none is lost."""
+    rows = [(None, "w " * 10, "a")] * 2000 + [(i, "w " * 10, "b") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    mixed = mixing.mix(docs, weights=(5, 1), shard_words=2000).collect()
+    assert Counter((r.id, r.source, r["size"]) for r in mixed) == Counter((i, s, 10) for i, _, s in rows)
+    for s in "ab":
+        own = [r for r in mixed if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 16 * 11
+    assert sorted(map(str, mixed)) == sorted(map(str, mixing.mix(docs.repartition(3), weights=(5, 1), shard_words=2000).collect()))
+    blocks = mixing.counted(docs.drop("doc_id")).collect()
+    assert sorted(r["_alike"] for r in blocks) == sorted(2 * ([mixing.ALIKE] * 7 + [2000 - 7 * mixing.ALIKE]))
+
+
 def test_discriminant_equals_plain_densities(spark):
     sf = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text or "" for r in table(spark, sf, "documents").collect()}
