@@ -92,8 +92,10 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     b = bitmaps.select(F.col("id").alias(own), F.col("text_hash").alias(own_th), F.col("words").alias(words))
     d = meet(docs.withColumn(th, F.xxhash64(col(text_col))), b, col(id_col).eqNullSafe(F.col(own)) & (F.col(th) == F.col(own_th)), "left")
     d = d.withColumn(lines, lines_of(col(text_col)))
-    # the bits of all lines' words, so that a line finds its own by position
-    dense = F.expr(f"transform(sequence(0, (size(`{lines}`) - 1) div 64), w -> coalesce(get(filter(`{words}`, x -> x.word = w), 0).bits, -1L))")
+    # the bits of all lines' words, so that a line finds its own by position: words stand in order, gaps between them keep all
+    gap = f"array_repeat(-1L, x.word - if(i = 0, 0, `{words}`[i - 1].word + 1))"
+    ends = f"array_repeat(-1L, CAST((size(`{lines}`) - 1) div 64 AS INT) - element_at(`{words}`, -1).word)"
+    dense = F.expr(f"concat(flatten(transform(`{words}`, (x, i) -> concat({gap}, array(x.bits)))), {ends})")
     d = d.withColumn(words, F.when(F.col(words).isNotNull(), dense))
     left = F.expr(f"filter(`{lines}`, (x, i) -> (shiftright(`{words}`[i div 64], i % 64) & 1L) = 1L)")
     return d.select(
