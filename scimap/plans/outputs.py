@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scimap.operators import chat, figures, laws, layout, theory, trends
@@ -280,6 +281,42 @@ def rep_chat_points(spark, sf):
 # figures
 
 
+ATTRIBUTES = {"first": ["widget", "institute 7"], "second": ["bolt", "cold", "rod", "institute 1"]}
+CONSTRUCTS = {"perceived_usefulness": ["large", "green"]}
+
+
+def _total(text: str) -> str:
+    return " + ".join(f"avg((" + " + ".join(f"CAST(contains({text}, '{x}') AS INTEGER)" for x in terms) + f") / {len(terms)})" for terms in ATTRIBUTES.values())
+
+
+@query(f"""{with_("docs", "countries", "edges")}, few AS (SELECT * FROM edges WHERE weight >= (SELECT avg(weight) FROM edges)), deg AS (SELECT item, (SELECT count(*) FROM few WHERE item IN (src, dst)) AS degree FROM (SELECT src AS item FROM edges UNION SELECT dst FROM edges)),
+    w AS (SELECT l_orderkey AS doc_id, lower(string_agg('Institute ' || s_suppkey % 20 || ', ' || n_name || '; ' || p_name, '; ')) AS t, lower(string_agg('Institute ' || s_suppkey % 20 || ', ' || n_name, '; ')) AS a
+        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey GROUP BY 1),
+    s AS (SELECT item, {_total("t")} AS total, {_total("a")} AS of_authors, avg((CAST(contains(t, 'large') AS INTEGER) + CAST(contains(t, 'green') AS INTEGER)) / 2) AS useful, avg(year) AS y, avg(cited_by) AS cited FROM countries JOIN w USING (doc_id) JOIN docs USING (doc_id) GROUP BY 1),
+    p AS (SELECT 'h1' AS test, 'keywords_and_abstract' AS text, total AS x, CAST(degree AS DOUBLE) AS y FROM s JOIN deg USING (item) UNION ALL SELECT 'h2', 'keywords_and_abstract', total, y FROM s
+        UNION ALL SELECT 'h3', 'keywords_and_abstract', useful, cited FROM s UNION ALL SELECT 'h2', 'author_keywords', of_authors, y FROM s),
+    r AS (SELECT *, rank() OVER (PARTITION BY test, text ORDER BY x) + (count(*) OVER (PARTITION BY test, text, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY test, text ORDER BY y) + (count(*) OVER (PARTITION BY test, text, y) - 1) / 2 AS ry FROM p)
+    SELECT test, text, count(*) AS n, round(CASE WHEN count(*) >= 3 THEN corr(rx, ry) END, 6) AS rho FROM r GROUP BY 1, 2 UNION ALL SELECT 'h2', 'index_keywords', 0, NULL""")
+def rep_theory(spark, sf):
+    """The report's three tests, with countries as platforms, and the second on each choice of columns. Affiliations stand
+    for authors' keywords, parts for index keywords, where no country is; the graph has the edges of mean weight or more."""
+    d = ad.corpus(spark, sf).withColumns({"keywords_raw": F.col("affiliations_raw"), "index_keywords_raw": F.col("keywords_raw"), "abstract": F.col("authors_raw")})
+    nodes, edges = ad.country_graph(spark, sf)
+    few = edges.crossJoin(edges.agg(F.avg("weight").alias("mean"))).where("weight >= mean").drop("mean")  # one row
+    r = reports.theory_report(d, nodes, few, [f"nation_{i}" for i in range(25)], ATTRIBUTES, CONSTRUCTS)
+    of = lambda name, test: r[name].withColumn("test", F.lit(test))
+    whole = of("h1", "h1").unionByName(of("h3", "h3")).withColumn("text", F.lit("keywords_and_abstract"))
+    return whole.unionByName(of("h2_by_text", "h2")).select("test", "text", "n", F.round("rho", 6).alias("rho"))
+
+
+@query(f"""{with_("authors")} SELECT item, n, CAST(row_number() OVER (ORDER BY n DESC, first, item) AS INTEGER) AS rank FROM (SELECT item, count(*) AS n, min(doc_id) AS first FROM authors GROUP BY 1) QUALIFY rank <= 12""")
+def fig_top_authors(spark, sf):
+    """The 12 most productive authors; of equals, the one whose first document comes first."""
+    a = ad.authors(spark, sf).groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    best = a.orderBy(F.col("n").desc(), "first", "item").limit(12)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "first", "item"))).select("item", "n", "rank")
+
+
 @query(f"{with_('keywords')} SELECT item, count(*) AS n FROM keywords GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
 def fig_top_keywords(spark, sf):
     return fr.top(fr.document_frequency(ad.keywords(spark, sf)), 15, F.col("n").desc(), F.col("item"))

@@ -118,16 +118,17 @@ def normalisation_report(docs: DataFrame, min_docs: int = 3, seed: int = 42) ->
     return {"graphs": rows, "merges": fr.variant_merges(k), "ari": agreement.adjusted_rand(a.join(b, "node").select("a", "b"))}
 
 
-def theory_report(docs: DataFrame, nodes: DataFrame, edges: DataFrame, platforms: list[str] = lex.PLATFORMS) -> Report:
-    """Platform scores, the three tests, and the second for each choice of text columns."""
+def theory_report(docs: DataFrame, nodes: DataFrame, edges: DataFrame, platforms: list[str] = lex.PLATFORMS, attributes: dict | None = None, constructs: dict | None = None, patterns: dict | None = None) -> Report:
+    """Platform scores, the three tests, and the second for each choice of text columns, whose texts are scanned once each."""
     texts = {"keywords_and_abstract": ["keywords_raw", "index_keywords_raw", "abstract"], "author_keywords": ["keywords_raw"], "index_keywords": ["index_keywords_raw"]}
-    scores = checkpointed(theory.platform_scores(theory.document_text(docs, texts["keywords_and_abstract"]), platforms))
+    scores = {k: checkpointed(theory.platform_scores(theory.document_text(docs, columns), platforms, attributes, constructs, patterns)) for k, columns in texts.items()}
+    whole = scores["keywords_and_abstract"]
     centrality = graphs.degrees(nodes, edges).select("node", F.col("node").alias("label"), "centrality")
     variants = None
-    for name, columns in texts.items():
-        v = theory.score_vs_year(theory.platform_scores(theory.document_text(docs, columns), platforms)).withColumn("text", F.lit(name))
+    for name, own in scores.items():
+        v = theory.score_vs_year(own).withColumn("text", F.lit(name))
         variants = v if variants is None else variants.unionByName(v)
-    return {"scores": scores, "h1": theory.score_vs_centrality(scores, centrality), "h2": theory.score_vs_year(scores), "h3": theory.usefulness_vs_citations(scores), "h2_by_text": variants}
+    return {"scores": whole, "h1": theory.score_vs_centrality(whole, centrality), "h2": theory.score_vs_year(whole), "h3": theory.usefulness_vs_citations(whole), "h2_by_text": variants}
 
 
 def lag_report(docs: DataFrame, min_docs: int = 3, families: dict = lex.TERM_FAMILIES) -> Report:
