@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,13 +89,61 @@ def family_by_year(presence: DataFrame) -> DataFrame:
     return presence.where("in_abstract AND year IS NOT NULL").groupBy("family", "year").agg(F.count(F.lit(1)).alias("n"))
 
 
-def mentioned(text: Column, platforms: list[str], patterns: dict[str, str] | None = None) -> Column:
-    """The platforms (in lower case) that a text in lower case mentions. Patterns made of a name are tried where the name is."""
+#: What Java's patterns and those of pyarrow (RE2) may read differently: escapes, dots, look-around, possessive quantifiers, nested classes.
+_DIFFERS = re.compile(r"\\|\.|\(\?(?!:)|[+*?}]\+|&&|\[[^]]*\[")
+
+
+def plain_pattern(pattern: str) -> bool:
+    """Whether pyarrow finds the pattern where Java does: see _DIFFERS."""
+    if _DIFFERS.search(pattern):
+        return False
+    try:
+        pc.match_substring_regex(pa.array([""]), pattern)
+    except pa.ArrowInvalid:
+        return False
+    return True
+
+
+def _matches(text: pa.Array, pattern: str) -> np.ndarray:
+    """Whether each text has the pattern. '$' also stands before a line terminator at the end, as in Java."""
+    hit = pc.fill_null(pc.match_substring_regex(text, pattern), False).to_numpy(zero_copy_only=False)
+    if "$" in pattern:
+        ends = pc.fill_null(pc.match_substring_regex(text, r"[\n\r\x{85}\x{2028}\x{2029}]\z"), False)
+        cut = pc.replace_substring_regex(text.filter(ends), r"(?:\r\n|[\n\r\x{85}\x{2028}\x{2029}])\z", "")
+        ends = ends.to_numpy(zero_copy_only=False)
+        hit = hit.copy()
+        hit[ends] |= pc.match_substring_regex(cut, pattern).to_numpy(zero_copy_only=False)
+    return hit
+
+
+def with_hits(texts: DataFrame, platforms: list[str], patterns: dict[str, str] | None = None) -> tuple[DataFrame, dict[str, Column]]:
+    """texts with what pyarrow finds, and by platform the column that tells it: for platforms with plain patterns of
+    their own, which Java's engine takes about 50 times as long to look for."""
+    own = lex.PLATFORM_PATTERNS if patterns is None else patterns
+    names = [n for n in dict.fromkeys(p.lower().strip() for p in platforms) if n in own and plain_pattern(own[n])]
+    if not names:
+        return texts, {}
+    plain = [own[n] for n in names]
+
+    @F.arrow_udf("array<boolean>")
+    def hits(text: pa.Array) -> pa.Array:
+        flat = np.stack([_matches(text, p) for p in plain], axis=1).ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1, dtype=np.int32) * len(plain)), pa.array(flat))
+
+    return texts.withColumn("_hits", hits("text")), {n: F.col("_hits")[i] for i, n in enumerate(names)}
+
+
+def mentioned(text: Column, platforms: list[str], patterns: dict[str, str] | None = None, hits: dict[str, Column] | None = None) -> Column:
+    """The platforms (in lower case) that a text in lower case mentions. Patterns made of a name are tried where the name
+    is. hits: see with_hits()."""
     own = lex.PLATFORM_PATTERNS if patterns is None else patterns
 
     def found(name: str) -> Column:
-        hit = text.rlike(platform_pattern(name, patterns))
+        pattern = platform_pattern(name, patterns)
         name = name.lower().strip()
+        if hits and name in hits:
+            return hits[name]
+        hit = text.rlike(pattern)
         return hit if name in own else text.contains(name) & hit
 
     return F.array_compact(F.array(*[F.when(found(p), F.lit(p.lower())) for p in platforms]))
@@ -104,5 +155,6 @@ def platform_mentions(texts: DataFrame, platforms: list[str] = lex.PLATFORMS, pa
     A lambda's argument is evaluated once, however many patterns look at it; an outer explode() keeps the optimizer from
     searching the text a second time, in a filter for texts that mention none.
     """
-    found = F.transform(F.array("text"), lambda t: mentioned(t, platforms, patterns))[0]
-    return texts.withColumn("platform", F.explode_outer(found)).where("platform IS NOT NULL")
+    d, hits = with_hits(texts, platforms, patterns)
+    found = F.transform(F.array("text"), lambda t: mentioned(t, platforms, patterns, hits))[0]
+    return d.withColumn("platform", F.explode_outer(found)).where("platform IS NOT NULL").drop("_hits")
