@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from scimap.functions import lexicons as lex
 from scimap.functions.text import joined_text, n_contained
 from scimap.operators.agreement import spearman
-from scimap.operators.screening import mentioned
+from scimap.operators.screening import mentioned, with_hits
+from scimap.sources.stores import checkpointed
 
 
 def document_text(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -26,16 +27,20 @@ def platform_scores(texts: DataFrame, platforms: list[str] = lex.PLATFORMS, attr
     constructs = lex.ACCEPTANCE_CONSTRUCTS if constructs is None else constructs
     terms = attributes | constructs
 
+    d, hits = with_hits(texts, platforms, patterns)
+
     def scored(text: Column) -> Column:
-        """The platforms of a text, and only if there are any the shares of terms: each is evaluated once."""
-        shares = F.struct(*[(n_contained(text, t) / max(1, len(t))).alias(n) for n, t in terms.items()])
-        return F.transform(F.array(mentioned(text, platforms, patterns)), lambda p: F.struct(p.alias("platforms"), F.when(F.size(p) > 0, shares).alias("shares")))[0]
+        """The platforms of a text, and only if there are any the numbers of terms: each is evaluated once."""
+        found = F.struct(*[n_contained(text, t).alias(n) for n, t in terms.items()])
+        return F.transform(F.array(mentioned(text, platforms, patterns, hits)), lambda p: F.struct(p.alias("platforms"), F.when(F.size(p) > 0, found).alias("found")))[0]
 
-    rows = texts.select("year", "cited_by", F.transform(F.array("text"), scored)[0].alias("_x"))
-    rows = rows.select("year", "cited_by", "_x.shares", F.explode_outer("_x.platforms").alias("platform")).where("platform IS NOT NULL")
+    rows = d.select("year", "cited_by", F.transform(F.array("text"), scored)[0].alias("_x"))
+    rows = rows.select("year", "cited_by", "_x.found", F.explode_outer("_x.platforms").alias("platform")).where("platform IS NOT NULL")
+    n_docs = F.count(F.lit(1))
     g = rows.groupBy("platform").agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        *[F.avg(F.col("shares")[n]).alias(n) for n in terms],
+        n_docs.alias("n_docs"),
+        # whole numbers are summed, so that a mean doesn't depend on the order of rows
+        *[(F.sum(F.col("found")[n]) / (n_docs * max(1, len(t)))).alias(n) for n, t in terms.items()],
         F.avg("year").alias("mean_year"),
         F.avg("cited_by").alias("mean_citations"),
     )
@@ -63,4 +68,5 @@ def usefulness_vs_citations(scores: DataFrame) -> DataFrame:
 
 
 def _tested(xy: DataFrame) -> DataFrame:
-    return spearman(xy).withColumn("rho", F.when(F.col("n") >= 3, F.col("rho")))
+    """Ranks are joined to values by value: these are computed once, for sums of fractions computed again may differ."""
+    return spearman(checkpointed(xy)).withColumn("rho", F.when(F.col("n") >= 3, F.col("rho")))
