@@ -79,12 +79,16 @@ def reference_key(ref: Column) -> Column:
     The year is the first in round brackets; the surname is the first word of what stands before the first comma.
     Names of fewer than 3 characters, and of digits alone, give no key.
     """
-    doi = F.regexp_replace(F.lower(F.regexp_extract(ref, lex.DOI_PATTERN, 0)), "[.,]+$", "")
-    year = F.regexp_extract(ref, lex.YEAR_PATTERN, 1)
-    name = F.lower(strip_space(F.element_at(F.split(ref, ","), 1)))
-    good = (year != "") & (F.length(name) >= 3) & ~name.rlike("^[0-9]+$")
-    first = F.element_at(F.split(name, r"(?U)\s+"), 1)
-    return F.when(doi != "", doi).when(good, F.concat(first, F.lit("_"), year))
+
+    def named(name: Column, year: Column) -> Column:
+        good = (year != "") & (F.length(name) >= 3) & ~name.rlike("^[0-9]+$")
+        return F.when(good, F.concat(F.regexp_extract(name, r"(?U)^\S*", 0), F.lit("_"), year))
+
+    name = F.lower(strip_space(F.substring_index(ref, ",", 1)))
+    of_name = let(name, lambda n: let(F.regexp_extract(ref, lex.YEAR_PATTERN, 1), lambda y: named(n, y)))
+    # every DOI begins with "10."
+    doi = F.when(ref.contains("10."), F.regexp_replace(F.lower(F.regexp_extract(ref, lex.DOI_PATTERN, 0)), "[.,]+$", ""))
+    return let(doi, lambda d: F.when(d != "", d).otherwise(of_name))
 
 
 def affiliations(c: Column) -> Column:

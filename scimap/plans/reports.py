@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scimap.functions import lexicons as lex
-from scimap.functions.text import canonical_keyword, plain_keyword, split_field
+from scimap.functions.text import canonical_keyword, plain_keyword, reference_key, split_field
 from scimap.operators import agreement, chat, communities, graphs, laws, screening, theory, trends
 from scimap.operators import cooccurrence as co
 from scimap.operators import frequency as fr
@@ -44,12 +44,26 @@ def affiliation_report(docs: DataFrame) -> Report:
     return {"concentration": laws.concentration(countries, institutions), "top_countries": best(countries), "top_institutions": best(institutions), "collaboration": co.collaboration(countries)}
 
 
+def era_references(docs: DataFrame, eras: list[tuple] = lex.ERAS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, era) and (doc_id, era, ref), of the columns that they need, computed once."""
+    d = checkpointed(screening.in_eras(docs, eras).select("doc_id", "era", "references_raw"))
+    refs = d.select("doc_id", "era", F.explode(split_field(F.col("references_raw"))).alias("ref"))
+    return d.select("doc_id", "era"), checkpointed(refs.select("doc_id", "era", reference_key(F.col("ref")).alias("ref")).where("ref IS NOT NULL"))
+
+
+def era_sizes(in_era: DataFrame, refs: DataFrame, min_shared: int = 1) -> DataFrame:
+    """(era, n, m, density): documents of each era, its coupled pairs and their share of all; pairs are counted where they are made."""
+    sizes = in_era.groupBy("era").agg(F.count(F.lit(1)).alias("n"))
+    m = co.coupling(refs, min_shared, ("era",)).groupBy("era").agg(F.count(F.lit(1)).alias("m"))
+    density = F.coalesce(F.try_divide(2 * F.coalesce("m", F.lit(0)), F.col("n") * (F.col("n") - 1)), F.lit(0.0))
+    return sizes.join(m, "era", "left").select("era", "n", F.coalesce("m", F.lit(0)).alias("m"), density.alias("density"))
+
+
 def coupling_report(docs: DataFrame, eras: list[tuple] = lex.ERAS, min_shared: int = 1) -> Report:
     """Each era's coupling graph: its documents and edges, density, weighted clustering, the 10 most coupled documents;
     the correlation of cited references between eras and the most cited of each. A document's repeated references
     count in the latter, not in coupling."""
-    in_era = checkpointed(screening.in_eras(docs, eras).select("doc_id", "era"))
-    refs = checkpointed(src.references(docs).select("doc_id", "ref").join(in_era, "doc_id"))
+    in_era, refs = era_references(docs, eras)
     summary, coupled = None, None
     for name, _, _ in eras:
         nodes = in_era.where(F.col("era") == name).select(F.col("doc_id").alias("node"))
