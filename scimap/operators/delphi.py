@@ -55,8 +55,8 @@ def kappa_summary(ratings: DataFrame) -> DataFrame:
     return rater_pair_summary(ratings, ["cluster"])
 
 
-def multiplicities(raters: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """(cluster, rater, times): how often each replicate's panel has the rater, an array with a number for each replicate.
+def seats(raters: DataFrame, replicates: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(cluster, rater, seat, n), and (cluster, replicate, seat) for each draw.
 
     A replicate draws as many seats as its cluster has raters, with replacement; the rater on a seat is fixed by the
     first eight hexadecimal digits of the MD5 of `seed:cluster:replicate:seat`.
@@ -65,7 +65,12 @@ def multiplicities(raters: DataFrame, replicates: int, seed: int) -> DataFrame:
     r = checkpointed(r.select("cluster", "rater", (F.col("i") - 1).cast("long").alias("seat"), F.col("total").alias("n")))
     text = F.concat_ws(":", F.lit(str(seed)), F.col("cluster").cast("string"), F.col("replicate").cast("string"), F.col("seat").cast("string"))
     drawn = r.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    drawn = drawn.select("cluster", "replicate", (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.col("n")).alias("seat"))
+    return r, drawn.select("cluster", "replicate", (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.col("n")).alias("seat"))
+
+
+def multiplicities(raters: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(cluster, rater, times): how often each replicate's panel has the rater, an array with a number for each replicate."""
+    r, drawn = seats(raters, replicates, seed)
     counts = drawn.groupBy("cluster", "seat", "replicate").agg(F.count(F.lit(1)).alias("k"))
     known = counts.groupBy("cluster", "seat").agg(F.map_from_entries(F.collect_list(F.struct("replicate", "k"))).alias("of"))
     times = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda i: F.coalesce(F.col("of")[i], F.lit(0)))
@@ -75,14 +80,16 @@ def multiplicities(raters: DataFrame, replicates: int, seed: int) -> DataFrame:
 def bootstrap_alpha(ratings: DataFrame, replicates: int = 300, seed: int = 42) -> DataFrame:
     """(cluster, alpha, low, high): alpha with the 2.5 and 97.5 percentiles over resampled panels.
 
-    A rater stands in a replicate as often as multiplicities() says. Alpha wants counts, sums and sums of squares by item,
-    so each rating brings its rater's array of multiplicities, and these are summed by replicate before anything moves.
-    Replicates in which a panel has no rating of two raters count as krippendorff() says.
+    A rater stands in a replicate as often as seats() draws its seat. Alpha wants counts, sums and sums of squares by
+    item, so each draw meets its rater's ratings, which are hashed, and is summed by replicate and item where it is: draws
+    are never sorted or kept. Replicates in which a panel has no rating of two raters count as krippendorff() says.
     """
-    times = multiplicities(ratings.select("cluster", "rater").distinct(), replicates, seed)
-    r = ratings.select("cluster", "rater", "item", F.col("rating").cast("double").alias("x")).join(times, ["cluster", "rater"])
-    r = r.select("cluster", "item", "x", F.posexplode("times").alias("replicate", "k")).where("k > 0")
-    items = r.groupBy("cluster", "replicate", "item").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("x")).alias("s"), F.sum(F.col("k") * F.col("x") * F.col("x")).alias("q"))
+    r, drawn = seats(ratings.select("cluster", "rater").distinct(), replicates, seed)
+    own = ratings.groupBy("cluster", "rater").agg(F.collect_list(F.struct("item", F.col("rating").cast("double").alias("x"))).alias("_own"))
+    own = r.select("cluster", "rater", "seat").join(own, ["cluster", "rater"]).select("cluster", "seat", "_own")
+    rows = drawn.join(own.hint("shuffle_hash"), ["cluster", "seat"]).select("cluster", "replicate", F.inline("_own"))
+    # of a null rating there is a row, as in item_sums()
+    items = rows.groupBy("cluster", "replicate", "item").agg(F.count(F.lit(1)).alias("m"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
     alphas = alpha_of_items(items, ["cluster", "replicate"])
     g = alphas.groupBy("cluster").agg(F.count(F.lit(1)).alias("replicates"), F.percentile("alpha", F.lit(0.025)).alias("low"), F.percentile("alpha", F.lit(0.975)).alias("high"))
     return krippendorff(ratings, ["cluster"]).select("cluster", "alpha").join(g, "cluster")
