@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scimap.operators.ranks import running
-from scimap.sources.stores import checkpointed
+from scimap.sources.stores import checkpointed, spread
 
 
 def _pairs(n: Column) -> Column:
@@ -42,11 +42,17 @@ def against_baseline(membership: DataFrame, baseline: str) -> DataFrame:
 
     membership: variant, node, cluster.
     """
-    base = membership.where(F.col("variant") == baseline).select("node", F.col("cluster").alias("a"))
-    other = membership.select("variant", "node", F.col("cluster").alias("b"))
-    grid = other.select("variant").distinct().crossJoin(membership.select("node").distinct())
-    rows = grid.join(base, "node", "left").join(other, ["variant", "node"], "left")
-    return adjusted_rand(rows.select("variant", F.coalesce("a", F.lit(-1)).alias("a"), F.coalesce("b", F.lit(-1)).alias("b")), ["variant"])
+    # a row for each node, with its clusters by variant, is what both sides of a comparison are read from
+    own = spread(membership, "node", a_task=1 << 20).groupBy("node").agg(F.collect_list(F.struct("variant", "cluster")).alias("_own"))
+    grid = own.select("_own").crossJoin(F.broadcast(membership.select("variant").distinct()))  # broadcast: a row for each variant
+    missing = F.array(F.lit(-1).cast(membership.schema["cluster"].dataType))
+
+    def of(name: Column) -> Column:
+        found = F.transform(F.filter("_own", lambda x: x["variant"] == name), lambda x: F.coalesce(x["cluster"], missing[0]))
+        return F.when(F.size(found) > 0, found).otherwise(missing)
+
+    rows = grid.select("variant", F.explode(of(F.lit(baseline))).alias("a"), of(F.col("variant")).alias("_b"))
+    return adjusted_rand(rows.select("variant", "a", F.explode("_b").alias("b")), ["variant"])
 
 
 def jaccard(sets: DataFrame) -> DataFrame:
