@@ -25,9 +25,10 @@ ALGORITHMS = ("louvain", "leiden", "greedy", "label_propagation", "map_equation"
 
 def keyword_items(docs: DataFrame, canonical: bool = True, column: str = "keywords_raw") -> DataFrame:
     """(doc_id, pos, item, year): keywords in canonical form, or stripped and in lower case."""
-    k = src.keywords(docs, column)
+    k = docs.select("doc_id", "year", F.posexplode(split_field(F.col(column))).alias("pos", "item"))
     form = canonical_keyword(F.col("item")) if canonical else plain_keyword(F.col("item"))
-    return k.withColumn("item", form).where("item <> ''").join(docs.select("doc_id", "year"), "doc_id")
+    # an outer explode() keeps the optimizer from computing the form a second time, in the filter
+    return k.select("doc_id", "pos", F.explode_outer(F.array(form)).alias("item"), "year").where("item <> ''")
 
 
 def keyword_network(docs: DataFrame, min_docs: int = 3, canonical: bool = True) -> Report:
@@ -120,6 +121,7 @@ def shared_labels(raw: DataFrame, canonical: DataFrame) -> DataFrame:
 
 def normalisation_report(docs: DataFrame, min_docs: int = 3, seed: int = 42) -> Report:
     """What canonical forms change: nodes and edges of both graphs, merged variants, agreement of their partitions."""
+    docs = checkpointed(docs.select("doc_id", "year", "keywords_raw"))
     raw, own = keyword_network(docs, min_docs, canonical=False), keyword_network(docs, min_docs)
     rows = None
     for name, g in (("raw", raw), ("canonical", own)):
@@ -135,6 +137,7 @@ def normalisation_report(docs: DataFrame, min_docs: int = 3, seed: int = 42) ->
 def theory_report(docs: DataFrame, nodes: DataFrame, edges: DataFrame, platforms: list[str] = lex.PLATFORMS, attributes: dict | None = None, constructs: dict | None = None, patterns: dict | None = None) -> Report:
     """Platform scores, the three tests, and the second for each choice of text columns, whose texts are scanned once each."""
     texts = {"keywords_and_abstract": ["keywords_raw", "index_keywords_raw", "abstract"], "author_keywords": ["keywords_raw"], "index_keywords": ["index_keywords_raw"]}
+    docs = checkpointed(docs.select("year", "cited_by", *[c for c in dict.fromkeys(sum(texts.values(), [])) if c in docs.columns]))
     scores = {k: checkpointed(theory.platform_scores(theory.document_text(docs, columns), platforms, attributes, constructs, patterns)) for k, columns in texts.items()}
     whole = scores["keywords_and_abstract"]
     centrality = graphs.degrees(nodes, edges).select("node", F.col("node").alias("label"), "centrality")
